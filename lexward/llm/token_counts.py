@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,9 @@ BATCH_BYTES = 4 << 20
 #: A text of more bytes is cut at safe boundaries first, so that one text never makes a larger batch.
 LONG_BYTES = 1 << 20
 
+#: Parts whose lengths a worker remembers.
+KNOWN_PARTS = 500_000
+
 
 def cut_points(text: str, size: int) -> list[int]:
     """Offsets that cut text into pieces of at least size characters, at safe boundaries only.
@@ -47,37 +52,37 @@ def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return out, counts
 
 
-def _batch_lengths(encoding, pieces: pa.Array) -> np.ndarray:
-    """Tokens of each piece: split before every space, the distinct parts encoded as one batch."""
-    split = pc.split_pattern(pieces, " ")
-    offsets = split.offsets.to_numpy()
-    coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    inner = np.fromiter(map(len, encoding.encode_ordinary_batch([" " + w for w in words], num_threads=1)), np.int64, len(words))
-    per_word = inner[coded.indices.to_numpy()]
-    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(per_word)])
-    first = coded.indices.to_numpy()[offsets[:-1]]
-    heads = np.unique(first)
-    outer = np.zeros(len(words), np.int64)
-    outer[heads] = [len(x) for x in encoding.encode_ordinary_batch([words[h] for h in heads], num_threads=1)]
-    return sums[offsets[1:]] - sums[offsets[:-1]] - inner[first] + outer[first]
+@functools.lru_cache(2)
+def _known(ranks_path: str) -> dict[str, int]:
+    """Lengths of space-led parts seen by this worker; emptied between batches when it grows too large."""
+    return {}
+
+
+def _batch_lengths(ranks_path: str, pieces: list[str]) -> list[int]:
+    """Tokens of each piece of a batch: split before every space, the parts not yet known encoded together."""
+    encode, known = vocabulary.encoding(ranks_path).encode_ordinary, _known(ranks_path)
+    if len(known) > KNOWN_PARTS:
+        known.clear()
+    split = [p.split(" ") for p in pieces]
+    new = set().union(*[s[1:] for s in split]).difference(known)
+    known.update((w, len(encode(" " + w))) for w in new)
+    length = known.__getitem__
+    return [len(encode(s[0])) + sum(map(length, s[1:])) for s in split]
 
 
 def lengths(texts: pa.Array, ranks_path: str = vocabulary.DEFAULT_RANKS, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """Exact numbers of tokens of texts without nulls."""
-    encoding = vocabulary.encoding(ranks_path)
+    encode = vocabulary.encoding(ranks_path).encode_ordinary
     pieces, counts = _pieces(texts.to_pylist())
     array = pa.array(pieces, pa.large_string())
+    unsafe = pc.match_substring_regex(array, r"[\s\x0b\x{85}\p{Z}] ").to_pylist()
     out = np.zeros(len(array), np.int64)
     for start, stop in byte_slices(array, batch_bytes):
-        batch = array[start:stop]
-        unsafe = pc.match_substring_regex(batch, r"[\s\x0b\x{85}\p{Z}] ").to_numpy(zero_copy_only=False)
-        part = np.zeros(stop - start, np.int64)
-        if (~unsafe).any():
-            part[~unsafe] = _batch_lengths(encoding, batch.filter(pa.array(~unsafe)))
-        if unsafe.any():
-            part[unsafe] = [len(x) for x in encoding.encode_ordinary_batch(batch.filter(pa.array(unsafe)).to_pylist(), num_threads=1)]
-        out[start:stop] = part
+        safe = [i for i in range(start, stop) if not unsafe[i]]
+        out[safe] = _batch_lengths(ranks_path, [pieces[i] for i in safe])
+        for i in range(start, stop):
+            if unsafe[i]:
+                out[i] = len(encode(pieces[i]))
     ends = np.cumsum(counts)
     sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(out)])
     return sums[ends] - sums[ends - counts]
