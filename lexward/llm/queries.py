@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexward.llm import bpe, exact_dedup, mixing, sharding, token_counts as counts
+from lexward.llm import bpe, exact_dedup, mixing, near_dedup, sharding
+from lexward.llm import token_counts as counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_sharding, op6_mixing, op7_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op5_sharding, op6_mixing, op7_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
