@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexward.llm import bpe, exact_dedup, mixing, near_dedup, sharding
+from lexward.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding
 from lexward.llm import token_counts as counts
 
 
@@ -22,6 +22,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op5_sharding, op6_mixing, op7_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
