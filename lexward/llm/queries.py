@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexward.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding
+from lexward.llm import bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding
 from lexward.llm import token_counts as counts
 
 
@@ -39,12 +39,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op8_secret_scan, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
