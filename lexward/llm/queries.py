@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexward.llm import bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding
+from lexward.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding
 from lexward.llm import token_counts as counts
 
 
@@ -47,9 +47,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op8_secret_scan, op9_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op8_secret_scan, op9_bpe, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
