@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexward.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding
+from lexward.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, topk
 from lexward.llm import token_counts as counts
 
 
@@ -27,6 +27,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op5_sharding, op6_mixing, op7_exact_dedup, op8_secret_scan, op9_bpe, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_quality_classifier, op4_exact_top_k, op5_sharding, op6_mixing, op7_exact_dedup, op8_secret_scan, op9_bpe, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op4_exact_top_k": topk.ORACLE, "op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
