@@ -16,8 +16,8 @@ from lexward.llm import vocabulary
 from lexward.llm.common import plain
 
 #: Space-led parts or pre-tokens, and token pairs, that a worker remembers; beyond that it forgets and works them out again.
-KNOWN_PARTS = 300_000
-KNOWN_PAIRS = 600_000
+KNOWN_PARTS = 120_000
+KNOWN_PAIRS = 250_000
 
 #: Outside this range, or at these characters, Python's classes of letters and digits differ from Unicode's.
 _ODD = re.compile("[\x1c-\x1f²³¹¼½¾]|[^\x00-ɏ]")

@@ -68,10 +68,10 @@ def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One array of large strings without nulls (a null becomes an empty text)."""
+    """One array without nulls (a null becomes an empty text); not copied where it is one already."""
     if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    return pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.cast(pa.large_string()).combine_chunks()
+    return pc.fill_null(texts, "") if texts.null_count else texts
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -15,7 +15,7 @@ WORDS = WIDTH // 8
 FIELDS = ("w0", "w1", "p0", "p1")
 
 #: Bytes of text whose words are hashed together, and rows of bits that are summed at once.
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _ROWS = 1 << 16
 
 #: For each byte its bits, spread over the eight bytes of a word.

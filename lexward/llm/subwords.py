@@ -13,7 +13,7 @@ from lexward.llm.common import byte_slices, mix, plain, words_of
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _REPEAT = 0
 
 
@@ -67,7 +67,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             counts = np.bincount(bucket[at], np.repeat(times, sizes), 1)
             counts[_REPEAT] += 10 * again[i]
             some = np.flatnonzero(counts)
-            out.append((some, counts[some]))
+            out.append((some.astype(np.int32), counts[some].astype(np.float32)))
     return out
 
 
