@@ -19,10 +19,22 @@ DIRECTIVE = rf"(?U){KEYWORD}:({'|'.join(KINDS)})\s+({_ID}(?:\s*,\s*{_ID})*)"
 HEADER_LINES = 10
 
 
+def sql_text(text: str) -> str:
+    """A text as an SQL expression that no setting of the parser changes; it is folded to a literal."""
+    return f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def lines_sql(content: str) -> str:
+    """SQL of the array of the lines: parted by a line feed with or without one carriage return; a last empty one is none."""
+    end, feed = sql_text("\r?\n\\z"), sql_text("\r?\n")
+    whole = f"CASE WHEN endswith({content}, chr(10)) THEN regexp_replace({content}, {end}, '') ELSE {content} END"
+    return f"CASE WHEN {content} <> '' THEN split({whole}, {feed}, -1) ELSE CAST(array() AS ARRAY<STRING>) END"
+
+
 def lines(content: Column) -> Column:
-    """Array of the lines: parted by a line feed with or without one carriage return; a last empty one is none."""
-    split = F.split(content, "\r?\n", -1)
-    return F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
+    """The same of a column."""
+    cut = F.when(F.endswith(content, F.lit("\n")), F.regexp_replace(content, "\r?\n\\z", "")).otherwise(content)
+    return F.when(content != "", F.split(cut, "\r?\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def ids_of(listed: Column) -> Column:
@@ -37,16 +49,20 @@ def line_directives(line: Column) -> Column:
     return F.flatten(each)
 
 
+def none() -> Column:
+    """No directives."""
+    return F.array().cast("array<struct<line:int,kind:string,pattern_id:string>>")
+
+
 def document_directives(content: Column) -> Column:
     """Array of struct(line, kind, pattern_id) of a document that counts: ignore-file in its first lines only.
 
     Lines without the keyword are left out first, so a document without directives costs one search.
     """
-    none = F.array().cast("array<struct<line:int,kind:string,pattern_id:string>>")
     numbered = F.filter(F.transform(lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))), lambda x: F.contains(x["text"], F.lit(KEYWORD + ":")))
     found = F.flatten(F.transform(numbered, lambda x: F.transform(line_directives(x["text"]), lambda d: F.struct(x["line"].alias("line"), d["kind"].alias("kind"), d["pattern_id"].alias("pattern_id")))))
     counted = F.filter(found, lambda d: (d["kind"] != "ignore-file") | (d["line"] <= HEADER_LINES))
-    return F.when(F.contains(content, F.lit(KEYWORD + ":")), counted).otherwise(none)
+    return F.when(F.contains(content, F.lit(KEYWORD + ":")), counted).otherwise(none())
 
 
 def is_suppressed(directives: Column, line: Column, pattern_id: Column) -> Column:

@@ -21,20 +21,16 @@ def reports(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppr
     is worked out within the row: there is no shuffle, and a clean document has its report.
     """
     patterns = list(R.embedded() if patterns is None else patterns)
-    known = S._attributes(patterns) if patterns else F.array(F.struct(*[F.lit("").alias(n) for n in S.FINDING[:5]]))
-
-    def finding(h):
-        p = F.element_at(known, h["ord"] + 1)
-        return F.struct(*[p[n].alias(n) for n in S.FINDING[:5]], F.col("file").alias("file"), h["line"].alias("line"), h["matched_text"].alias("matched_text"))
-
-    found = S.scan_documents(docs, patterns, suppress).select("file", "directives", F.transform("hits", finding).alias("all"))
+    fields = ", ".join(f"'{n}', {e}" for n, e in zip(S.FINDING, (*[f"p.{n}" for n in S.FINDING[:5]], "file", "h.line", "h.matched_text")))
+    bound = f"transform(hits, h -> element_at(transform(array(element_at({S._attributes(patterns)}, h.ord + 1)), p -> named_struct({fields})), 1))"
+    found = S.once(S.scan_documents(docs, patterns, suppress)).select("file", "directives", F.expr(bound).alias("every"))
     held = F.col("directives")
     routed = found.select(
         "file",
-        F.filter("all", lambda f: ~L.is_suppressed(held, f["line"], f["pattern_id"])).alias("matches"),
-        F.filter("all", lambda f: L.is_suppressed(held, f["line"], f["pattern_id"])).alias("suppressed"),
+        F.filter("every", lambda f: ~L.is_suppressed(held, f["line"], f["pattern_id"])).alias("matches"),
+        F.filter("every", lambda f: L.is_suppressed(held, f["line"], f["pattern_id"])).alias("suppressed"),
     )
-    return with_counts(routed)
+    return with_counts(S.once(routed))
 
 
 def with_counts(routed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexward.functions import lines as L
+from lexward.functions.lines import sql_text
 from lexward.plans import registry as R
 
 #: Matches of a pattern that are reported on a line.
@@ -65,75 +66,66 @@ def necessary(pattern: str) -> str | None:
     return best.lower() if len(best) >= 2 else None
 
 
-def folded(text: Column) -> Column:
-    """text in lower case as the gates see it; the two letters outside ASCII that fold into it are folded too."""
-    return F.lower(F.translate(text, "ſK", "sk"))
+def folded(text: str) -> str:
+    """SQL of text in lower case as the gates see it; the two letters outside ASCII that fold into it are folded too."""
+    return f"lower(translate({text}, {sql_text('\u017f\u212a')}, 'sk'))"
 
 
 _CLASS = re.compile(r"(?:\[((?:\\x\{[0-9A-F]+\})+)\])(?:\{[0-9]+,?[0-9]*\})?\Z")
 
 
-def _gate(pattern: R.Compiled, text: Column, low: Column) -> Column | None:
-    """A cheap condition that holds wherever the pattern matches; None where none is known."""
-    literal = necessary(pattern.pattern)
+def gate_texts(pattern: str) -> tuple[str, ...]:
+    """Texts of which any match holds at least one, folded as by folded(); () where none is known."""
+    literal = necessary(pattern)
     if literal:
-        return F.contains(low, F.lit(literal))
-    m = _CLASS.match(pattern.pattern)
-    if m:
-        marks = [chr(int(x, 16)) for x in re.findall(r"\{([0-9A-F]+)\}", m[1])]
-        out = F.contains(text, F.lit(marks[0]))
-        for mark in marks[1:]:
-            out = out | F.contains(text, F.lit(mark))
-        return out
-    return None
+        return (literal,)
+    m = _CLASS.match(pattern)
+    return tuple(chr(int(x, 16)) for x in re.findall(r"\{([0-9A-F]+)\}", m[1])) if m else ()
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _contains_any(low: str, texts: Sequence[str]) -> str:
+    return " OR ".join(f"contains({low}, {sql_text(t)})" for t in texts)
 
 
-def _line_hits(patterns: Sequence[R.Compiled], line: Column, number: Column, low: Column, gates: bool) -> Column:
-    """Array of struct(line, ord, k, matched_text) of a line: by pattern, then by place, CAP a pattern at most."""
-    def hits(p: R.Compiled) -> Column:
-        every = F.transform(
-            F.slice(F.regexp_extract_all(line, F.lit(p.java), 0), 1, CAP), lambda m, k: F.struct(number.alias("line"), F.lit(p.ord).alias("ord"), k.alias("k"), m.alias("matched_text"))
-        )
-        gate = _gate(p, line, low) if gates else None
-        return every if gate is None else F.when(gate, every)
+def line_gate(patterns: Sequence[R.Compiled], text: str, gates: bool = True) -> str:
+    """SQL of a condition that holds for every line with a match. The line is folded once, as the one element that exists() binds."""
+    known = [gate_texts(p.pattern) for p in patterns]
+    if not gates or not all(known):
+        return "true"
+    return f"exists(array({folded(text)}), low -> {_contains_any('low', sorted({t for texts in known for t in texts}))})"
 
-    found = [hits(p) for p in patterns]
-    return F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
 
+def line_hits(patterns: Sequence[R.Compiled], text: str, gates: bool = True, cap: int | None = CAP) -> str:
+    """SQL of the array of struct(ord, found) of a line: for each pattern with matches, in order, the first cap of them.
 
-_HITS = "array<struct<line:int,ord:int,k:int,matched_text:string>>"
+    Patterns are literals of the expression, so each is compiled once a task, and it runs only behind its gate.
+    """
 
+    def found(p: R.Compiled) -> str:
+        every = f"regexp_extract_all({text}, {sql_text(p.java)}, 0)"
+        every = every if cap is None else f"slice({every}, 1, {cap})"
+        known = gate_texts(p.pattern) if gates else ()
+        return f"CASE WHEN {_contains_any('low', known)} THEN {every} END" if known else every
 
-def document_hits(patterns: Sequence[R.Compiled], content: Column, gates: bool = True) -> Column:
-    """Array of the hits of a document, ordered by line, pattern and place.
+    each = ", ".join(f"named_struct('ord', {p.ord}, 'found', {found(p)})" for p in patterns)
+    return f"filter(element_at(transform(array({folded(text)}), low -> array({each})), 1), h -> size(h.found) > 0)"
 
-    Patterns are literals of the expression, so each is compiled once a task. A document in which no gate opens
-    is left after a few substring searches, and so is a line.
-    """
+
+_HITS = "array<struct<line:int,ord:int,k:int,matched_text:string>>"
+
+
+def document_hits(patterns: Sequence[R.Compiled], content: str = "content", gates: bool = True) -> Column:
+    """Array of the hits of the document in a column, ordered by line, pattern and place; all within the row."""
     if not patterns:
         return F.array().cast(_HITS)
-    opens = [_gate(p, F.col("x"), F.col("x")) for p in patterns] if gates else [None]
-    gated = all(g is not None for g in opens)
+    lines = f"transform({L.lines_sql(content)}, (text, i) -> named_struct('line', i + 1, 'text', text))"
+    each = "transform(h.found, (m, k) -> named_struct('line', x.line, 'ord', h.ord, 'k', k, 'matched_text', m))"
+    return F.expr(f"flatten(transform(filter({lines}, x -> {line_gate(patterns, 'x.text', gates)}), x -> flatten(transform({line_hits(patterns, 'x.text', gates)}, h -> {each}))))")
 
-    def gate_of(text: Column, low: Column) -> Column:
-        literals = sorted({n for p in patterns if (n := necessary(p.pattern))})
-        marks = sorted({c for p in patterns if not necessary(p.pattern) for c in (chr(int(x, 16)) for x in re.findall(r"\\x\{([0-9A-F]+)\}", p.pattern))})
-        return _any([*[F.contains(low, F.lit(n)) for n in literals], *[F.contains(text, F.lit(c)) for c in marks]])
 
-    numbered = F.transform(L.lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), folded(t).alias("low")))
-    if gated:
-        numbered = F.filter(numbered, lambda x: gate_of(x["text"], x["low"]))
-    hits = F.flatten(F.transform(numbered, lambda x: _line_hits(patterns, x["text"], x["line"], x["low"], gates)))
-    if gated:
-        return F.when(gate_of(content, folded(content)), hits).otherwise(F.array().cast(_HITS))
-    return hits
+def once(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row each: filters on its columns can't be moved below and work them out again."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
 def spread(docs: DataFrame, parallelism: int | None = None) -> DataFrame:
@@ -151,25 +143,39 @@ def scan_documents(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None
     A null content is an empty document.
     """
     patterns = R.embedded() if patterns is None else patterns
-    content = F.coalesce("content", F.lit(""))
-    none = F.array().cast("array<struct<line:int,kind:string,pattern_id:string>>")
-    return docs.select("file", document_hits(patterns, content, gates).alias("hits"), (L.document_directives(content) if suppress else none).alias("directives"))
+    held = L.document_directives(F.col("content")) if suppress else F.lit(None)
+    plain = docs.select("file", F.coalesce("content", F.lit("")).alias("content"))
+    return plain.select("file", document_hits(patterns, "content", gates).alias("hits"), F.coalesce(held, L.none()).alias("directives"))
+
+
+def _attributes(patterns: Sequence[R.Compiled]) -> str:
+    """SQL of the constant array of the fields that a pattern gives its findings, by place."""
+    fields = [(p.id, p.name, p.severity, p.message, p.remediation) for p in patterns] or [("",) * 5]
+    return "array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {sql_text(v)}" for n, v in zip(FINDING[:5], row)) + ")" for row in fields) + ")"
 
 
-def _attributes(patterns: Sequence[R.Compiled]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(FINDING[:5], (p.id, p.name, p.severity, p.message, p.remediation))]) for p in patterns])
+def line_findings(lines: DataFrame, patterns: Sequence[R.Compiled], gates: bool = True, cap: int | None = CAP) -> DataFrame:
+    """lines (with a column text) as one row a match: ord, k and matched_text in the place of text.
+
+    Lines without an open gate go before any pattern runs; outer generators keep the optimizer from working
+    the arrays out a second time to see whether they are empty.
+    """
+    others = [c for c in lines.columns if c != "text"]
+    if not patterns:
+        return lines.limit(0).selectExpr(*others, "0 AS ord", "0 AS k", "text AS matched_text")
+    gated = lines.where(F.expr(f"text IS NOT NULL AND {line_gate(patterns, 'text', gates)}"))
+    found = gated.selectExpr(*others, f"inline_outer({line_hits(patterns, 'text', gates, cap)})").where("ord IS NOT NULL")
+    return found.selectExpr(*others, "ord", "posexplode_outer(found) AS (k, matched_text)")
 
 
 def findings(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, gates: bool = True) -> DataFrame:
-    """One row a finding: FINDING's fields, then ord, k and is_suppressed."""
+    """One row a finding: FINDING's fields, then ord, k and is_suppressed. Directives are read once a document."""
     patterns = list(R.embedded() if patterns is None else patterns)
-    found = scan_documents(docs, patterns, suppress, gates).select("file", "directives", F.explode("hits").alias("h"))
-    known = _attributes(patterns) if patterns else F.array(F.struct(*[F.lit("").alias(n) for n in FINDING[:5]]))
-    named = found.withColumn("p", F.element_at(known, F.col("h.ord") + 1))
-    return named.select(
-        *[F.col(f"p.{n}").alias(n) for n in FINDING[:5]], "file", F.col("h.line").alias("line"), F.col("h.matched_text").alias("matched_text"),
-        F.col("h.ord").alias("ord"), F.col("h.k").alias("k"), L.is_suppressed(F.col("directives"), F.col("h.line"), F.col("p.pattern_id")).alias("is_suppressed"),
-    )
+    held = L.document_directives(F.col("content")) if suppress else L.none()
+    lines = docs.select("file", held.alias("directives"), "content").selectExpr("file", "directives", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)")
+    found = line_findings(lines.selectExpr("file", "directives", "at + 1 AS line", "text"), patterns, gates)
+    named = found.withColumn("p", F.expr(f"element_at({_attributes(patterns)}, ord + 1)"))
+    return named.select(*[F.col(f"p.{n}").alias(n) for n in FINDING[:5]], "file", "line", "matched_text", "ord", "k", L.is_suppressed(F.col("directives"), F.col("line"), F.col("p.pattern_id")).alias("is_suppressed"))
 
 
 def matches(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True) -> DataFrame:

@@ -14,7 +14,8 @@ from lexward.plans import registry as R
 
 def doc_lines(docs: DataFrame) -> DataFrame:
     """(file, line, text) of every line."""
-    return docs.select("file", F.posexplode(L.lines(F.coalesce("content", F.lit("")))).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
+    split = docs.selectExpr("file", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)")
+    return split.where("text IS NOT NULL").select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def all_directives(docs: DataFrame) -> DataFrame:
@@ -37,10 +38,16 @@ def file_wide_ids(docs: DataFrame) -> DataFrame:
 def withheld_by(docs: DataFrame, kind: str, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:
     """Findings that directives of one kind hold back, whatever others do."""
     patterns = list(R.embedded() if patterns is None else patterns)
-    content = F.coalesce("content", F.lit(""))
-    only = docs.select("file", S.document_hits(patterns, content).alias("hits"), F.filter(L.document_directives(content), lambda d: d["kind"] == kind).alias("directives"))
-    named = only.select("file", "directives", F.explode("hits").alias("h")).withColumn("pattern_id", F.element_at(F.array(*[F.lit(p.id) for p in patterns]), F.col("h.ord") + 1))
-    return named.where(L.is_suppressed(F.col("directives"), F.col("h.line"), F.col("pattern_id"))).select("file", "h.line", "pattern_id", "h.k", "h.matched_text")
+    of_kind = F.filter(L.document_directives(F.col("content")), lambda d: d["kind"] == kind)
+    held = S.once(docs.select("file", "content", of_kind.alias("directives"))).where(F.size("directives") > 0)
+    lines = held.selectExpr("file", "directives", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)").selectExpr("file", "directives", "at + 1 AS line", "text")
+    return _named(S.line_findings(lines, patterns), patterns).where(L.is_suppressed(F.col("directives"), F.col("line"), F.col("pattern_id"))).select("file", "line", "pattern_id", "k", "matched_text")
+
+
+def _named(found: DataFrame, patterns: Sequence[R.Compiled]) -> DataFrame:
+    """Matches with the ids of their patterns."""
+    ids = ", ".join(S.sql_text(p.id) for p in patterns) or "''"
+    return found.withColumn("pattern_id", F.expr(f"element_at(array({ids}), ord + 1)"))
 
 
 def _keys(held: DataFrame) -> list[DataFrame]:
@@ -71,9 +78,8 @@ def next_line_by_window(docs: DataFrame, patterns: Sequence[R.Compiled] | None =
     w = Window.partitionBy("file").orderBy("line")
     own = F.transform(F.filter(L.line_directives(F.col("text")), lambda d: d["kind"] == "ignore-next-line"), lambda d: d["pattern_id"])
     rows = doc_lines(docs).withColumn("before", F.lag(own).over(w)).where(F.size("before") > 0)
-    hits = S._line_hits(patterns, F.col("text"), F.col("line"), S.folded(F.col("text")), True)
-    named = rows.select("file", "line", "before", F.explode(hits).alias("h")).withColumn("pattern_id", F.element_at(F.array(*[F.lit(p.id) for p in patterns]), F.col("h.ord") + 1))
-    return named.where(F.array_contains("before", F.col("pattern_id"))).select("file", "line", "pattern_id", "h.k", "h.matched_text")
+    named = _named(S.line_findings(rows, patterns), patterns)
+    return named.where(F.array_contains("before", F.col("pattern_id"))).select("file", "line", "pattern_id", "k", "matched_text")
 
 
 def matches_by_difference(found: DataFrame) -> DataFrame:
@@ -85,10 +91,7 @@ def matches_by_difference(found: DataFrame) -> DataFrame:
 def cap_by_window(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:
     """The cap a pattern and line as a limit by group: row numbers of all matches of a line."""
     patterns = list(R.embedded() if patterns is None else patterns)
-    lines = doc_lines(docs)
-    every = None
-    for p in patterns:
-        hits = lines.select("file", "line", F.lit(p.id).alias("pattern_id"), F.posexplode(F.regexp_extract_all("text", F.lit(p.java), 0)).alias("at", "matched_text"))
-        every = hits if every is None else every.unionByName(hits)
+    every = _named(S.line_findings(doc_lines(docs), patterns, cap=None), patterns)
     w = Window.partitionBy("file", "line", "pattern_id").orderBy("at")
-    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= S.CAP).select("file", "line", "pattern_id", (F.col("n") - 1).alias("k"), "matched_text")
+    numbered = every.withColumnRenamed("k", "at").withColumn("n", F.row_number().over(w)).where(F.col("n") <= S.CAP)
+    return numbered.select("file", "line", "pattern_id", (F.col("n") - 1).alias("k"), "matched_text")

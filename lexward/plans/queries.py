@@ -228,9 +228,9 @@ def text_lines(spark, sf_dir):
 # The pattern library
 
 
-@_query(O.registry_rows())
+@_query(f"SELECT * REPLACE (coalesce(case_sensitive, false) AS case_sensitive) FROM ({O.registry_rows()})")
 def pattern_registry(spark, sf_dir):
-    return R.registry(spark).drop("tags")
+    return R.registry(spark).drop("tags").withColumn("case_sensitive", F.coalesce("case_sensitive", F.lit(False)))
 
 
 @_query(f"SELECT id, coalesce(severity, default_severity) AS severity, coalesce(case_sensitive, false) AS case_sensitive FROM ({O.registry_rows()})")

@@ -30,8 +30,7 @@ def tallies(stream: DataFrame, window: str = "5 minutes", late: str = "10 minute
     marked = stream.withWatermark("seen", late)
     severity = F.array(*[F.lit(p.severity) for p in patterns])
     ids = F.array(*[F.lit(p.id) for p in patterns])
-    content = F.coalesce("content", F.lit(""))
-    found = marked.select("seen", S.L.document_directives(content).alias("directives"), F.explode(S.document_hits(patterns, content)).alias("h"))
+    found = marked.select("seen", S.L.document_directives(F.col("content")).alias("directives"), F.explode(S.document_hits(patterns)).alias("h"))
     kept = found.where(~S.L.is_suppressed(F.col("directives"), F.col("h.line"), F.element_at(ids, F.col("h.ord") + 1)))
     return kept.groupBy(F.window("seen", window), F.element_at(severity, F.col("h.ord") + 1).alias("severity")).agg(F.count("*").alias("n"))
 
