@@ -76,7 +76,7 @@ def _rake_here(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
     table = cells.toPandas().sort_values(list(targets), ignore_index=True)
     tokens = table["tokens"].to_numpy(np.float64)
     codes, wanted = [], []
-    for c, want in targets.items():
+    for c, want in targets.items() if tokens.any() else ():
         values, code = np.unique(table[c].to_numpy(str), return_inverse=True)
         sums = np.bincount(code, tokens, len(values))
         shares = _target(dict(zip(values, sums / max(tokens.sum(), 1.0))), want)
@@ -90,6 +90,8 @@ def _rake_there(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
     """The same by joins of the cells with their marginals, cutting the lineage once a round."""
     total = cells.agg(F.sum("tokens")).first()[0]
     out = cells.withColumn("factor", F.lit(1.0))
+    if not total:
+        return out.select(*targets, "tokens", "factor")
     for c, want in targets.items():
         sums = cells.groupBy(c).agg(F.sum("tokens").cast("double").alias("s"))
         if isinstance(want, Mapping):
@@ -136,7 +138,7 @@ def mixture(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = R
     Each document is drawn on its own with its cell's probability, by a hash of its id: repeated rows share one
     fate, as do all rows with a null id. A null source or language is the value '∅'. A null or empty text has
     no tokens; where all texts of a cell are so, the cell's probability is 0. Only the columns named are read.
-    An empty table gives an empty result. Targets of values that don't occur are shared out among the others.
+    An empty table, or one without any token, gives an empty result. Targets of values that don't occur are shared out among the others.
     """
     out = _sampled(docs, targets, rounds, fraction, seed, doc_id)
     return out.select(F.col("key").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
