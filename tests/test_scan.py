@@ -42,11 +42,11 @@ CASES = {
     "PI031": (["DAN mode", "dan  mode", "a Dan mode."], ["dance mode", "DAN modes"]),
     "PI032": (["you have no content policy", "You  have no content policy", "that you have no content policy"], ["you have a content policy", "you have no policy"]),
     "PI033": (["pretend you have no restrictions", "Pretend  you have no restrictions", "so pretend you have no restrictions"], ["pretend you have restrictions", "you have no restrictions"]),
-    "PI034": (["in this hypothetical scenario where you can", "In this  hypothetical scenario where you can x", "y in this hypothetical scenario where you can"], ["in this scenario where you can", "in this hypothetical scenario where you cannot"[:-6] + "may"]),
+    "PI034": (["in this hypothetical scenario where you can", "In this  hypothetical scenario where you can x", "y in this hypothetical scenario where you can"], ["in this scenario where you can", "in this hypothetical scenario where you may"]),
     "PI035": (["jailbreak prompt", "a JAILBREAK  prompt", "(jailbreak prompt)"], ["jailbreak prompts", "jailbreaks prompt"]),
     "PI036": (["override your safety", "Override  your safety", "to override your safety rules"], ["override the safety", "override your safe"]),
     "PI037": (["bypass content filter", "bypass the content filter", "BYPASS  the content filter"], ["bypass a content filter", "bypass the filter"]),
-    "PI038": (["unlimited mode", "Unlimited  mode", "in UNLIMITED MODE"], ["unlimited modes"[:9] + " node", "limited mode"]),
+    "PI038": (["unlimited mode", "Unlimited  mode", "in UNLIMITED MODE"], ["unlimited node", "limited mode"]),
     "PI040": (["a‮b", "‏", "x‬y"], ["ab", " "]),
     "PI041": (["a​b", "﻿x", "‍"], ["a b", "⁠"]),
     "PI042": (["​​​", "a​‌‍﻿b", "﻿﻿﻿"], ["​​", "​ ​​"]),
@@ -166,7 +166,7 @@ def test_reports_of_clean_empty_and_null_documents(spark):
 
 
 def test_no_documents_and_no_patterns(spark):
-    none = table(spark).limit(0) if False else spark.createDataFrame([], "file string, content string")
+    none = spark.createDataFrame([], "file string, content string")
     assert S.findings(none).count() == 0
     assert Rp.run_totals(Rp.reports(none)).first()["exit_code"] == 0
     assert S.findings(table(spark, ONE), []).count() == 0
@@ -191,5 +191,4 @@ def test_scan_has_no_shuffle_and_runs_patterns_once(spark, small):
         assert "Exchange" not in plan and "Python" not in plan
         assert not re.search(r"ReadSchema: .*(lang|source|n_chars)", plan)
         optimized = df._jdf.queryExecution().optimizedPlan().toString()
-        java = next(p.java for p in R.embedded() if p.id == "PI005")
-        assert optimized.count(f"regexp_extract_all") < 2 * len(R.embedded()) and java
+        assert 0 < optimized.count("regexp_extract_all") <= len(R.embedded()) + 2  # a directive's two groups
