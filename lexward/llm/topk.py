@@ -13,9 +13,11 @@ from lexward.llm.common import cut, hinted
 
 K = 10
 
-#: Vectors in a block of items, and blocks whose vectors are one group of queries.
+#: Vectors in a block of items, and blocks whose vectors are one group of queries: more of them, up to the
+#: second number, where there are groups enough for all tasks, as each group is sent the items it has to meet.
 BLOCK = 1024
 GROUP = 8
+WIDEST_GROUP = 64
 
 #: Scores are rounded to so many digits, and equal ones go to the lesser id.
 DIGITS = 8
@@ -154,6 +156,11 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(ids[real]), pa.array(ranks[real]), pa.array(self.found[real]), pa.array(self.scores[real])], ["vec_id", "rank", "neighbor_id", "score"])
 
 
+def groups_of(total: int, tasks: int) -> int:
+    """Into how many groups the queries go."""
+    return max(1, min(-(-total // (BLOCK * GROUP)), max(-(-total // (BLOCK * WIDEST_GROUP)), 4 * tasks)))
+
+
 def _arrays(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, dim)
 
@@ -187,7 +194,8 @@ def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str
     ordered = rows.select("id", "v", norm.alias("norm")).repartitionByRange(parts, F.desc("norm"), F.xxhash64("id"))
     packed = cut(ordered.sortWithinPartitions(F.desc("norm"), F.xxhash64("id")).mapInArrow(_pack, _BLOCK))
     # Blocks are few and their numbers small: one row for BLOCK vectors.
-    numbered = packed.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(max(1, -(-total // (BLOCK * GROUP))))).cast("int"))
+    groups = groups_of(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbered = packed.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
 
     def seeds(table: pa.Table) -> pa.Table:
         own = [_arrays(row, dim) for row in table.select(["ids", "data"]).to_pylist()]

@@ -63,6 +63,13 @@ def test_too_few(spark, rows):
     assert run(spark, rows) == []
 
 
+def test_groups_widen_once_there_are_enough():
+    assert topk.groups_of(1, 8) == 1
+    assert topk.groups_of(20 * 8192, 8) == 20
+    assert topk.groups_of(100 * 8192, 8) == 32
+    assert topk.groups_of(10**9, 8) == -(-(10**9) // (64 * 1024))
+
+
 def test_bounds_leave_pairs_out():
     """Far fewer rows are merged than pairs exist, and blocks beyond the reach aren't met."""
     rng = np.random.default_rng(1)
