@@ -12,8 +12,9 @@ KINDS = ("ignore-next-line", "ignore-file", "ignore")
 
 _ID = "[A-Za-z][A-Za-z0-9_-]*"
 
-#: Kind and list of ids; white space is Unicode's.
-DIRECTIVE = rf"(?U){KEYWORD}:({'|'.join(KINDS)})\s+({_ID}(?:\s*,\s*{_ID})*)"
+#: Kind and list of ids; white space is Unicode's. The list never has to be given back, so it is possessive: any
+#: number of ids is matched in a loop, without the engine's stack.
+DIRECTIVE = rf"(?U){KEYWORD}:({'|'.join(KINDS)})\s+({_ID}(?:\s*,\s*{_ID})*+)"
 
 #: Lines from the top in which ignore-file counts.
 HEADER_LINES = 10

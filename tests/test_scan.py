@@ -153,6 +153,11 @@ def test_directive_of_another_house(spark):
     assert [(r["line"], r["kind"], r["pattern_id"]) for r in rows] == [(1, "ignore", "ACME042"), (1, "ignore", "b-2_c"), (1, "ignore-next-line", "X")]
 
 
+def test_directive_with_very_many_ids(spark):
+    rows = found(spark, f"{ONE} {SAME} " + ", ".join(f"X{i}" for i in range(50_000)) + ",PI001, ")
+    assert rows == [(0, 1, "PI001", True)]
+
+
 def test_reports_of_clean_empty_and_null_documents(spark):
     docs = table(spark, "", None, "fine", ONE, f"{ONE} {SAME} PI001")
     out = {r["file"]: r for r in Rp.reports(docs).collect()}
