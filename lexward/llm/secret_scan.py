@@ -14,8 +14,10 @@ from lexward.llm.common import plain
 #: Names after which a value is a credential.
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 
-#: name = value, name: value, quoted or not. Groups: name, value. A value ends at white space or a quote.
-CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]+[_-])*(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{4,}})"
+#: name = value, name: value, quoted or not. Groups: name, value. A value ends at white space or a quote. A name
+#: is told with up to eight words before it; what stands before those doesn't matter to the match, and a bound keeps
+#: the search linear and off the engine's stack where a text has endless chains of words.
+CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{4,}})"
 
 #: Of each name what all its spellings contain, in lower case: a text without any is not searched.
 _MARKS = ("passw", "pwd", "passphrase", "secret", "token", "key", "credential")

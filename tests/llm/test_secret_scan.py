@@ -66,6 +66,12 @@ def test_contexts(spark):
     ]
 
 
+def test_endless_chains_of_words(spark):
+    key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
+    got = found(spark, "a_" * 60_000 + f"token={key}", "b-" * 60_000 + " : ", "x" * 200_000 + f" secret: {key}", f"my_own_app_of_the_year_api_key={key}")
+    assert [r[3:] for r in got] == [(key, True)] * 3 and got[-1][2] == "my_own_app_of_the_year_api_key"
+
+
 def test_messy(spark):
     assert S.scan_secrets(messy(spark)).collect() == []
     assert S.scan_secrets(empty(spark)).collect() == []
