@@ -14,10 +14,14 @@ from lexward.llm.common import plain
 #: Names after which a value is a credential.
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 
-#: name = value, name: value, quoted or not. Groups: name, value. A value ends at white space or a quote. A name
+#: A value in quotes, its first quote read already: all up to the same quote on the line, which a backslash escapes.
+_QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{4,}}+(?={q})" for q in "\"'")
+
+#: name = value, name: value, quoted or not. Groups: name, value in quotes, value without. The latter ends at white
+#: space or a quote, as does one whose quote isn't closed on the line. A name
 #: is told with up to eight words before it; what stands before those doesn't matter to the match, and a bound keeps
 #: the search linear and off the engine's stack where a text has endless chains of words.
-CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{4,}})"
+CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?+(?:({_QUOTED})|([^\s\"']{{4,}}))"
 
 #: Of each name what all its spellings contain, in lower case: a text without any is not searched.
 _MARKS = ("passw", "pwd", "passphrase", "secret", "token", "key", "credential")
@@ -44,7 +48,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     n numbers a row's values from 0 in their order. Issued keys are found by their prefix too, under the name
     'issued', after the others. The search runs in the JVM over whole texts; only the values, a tiny part,
     reach the Arrow function that scores them. is_secret says whether a value takes 2 to the power min_bits
-    guesses. Trailing punctuation is not part of a value.
+    guesses. A value in quotes is all that they hold on the line; without quotes, trailing punctuation is not part of a value.
 
     A null or empty text has no values. A value met twice is listed twice; repeated rows and null ids are kept.
     An empty table gives no rows. Values of any length are scored whole. Only the two columns named are read.
@@ -59,10 +63,11 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     marked = F.col("text").rlike("[:=]") & F.greatest(*[F.contains(low, F.lit(m)) for m in _MARKS])
     issued = F.greatest(*[F.contains("text", F.lit(m)) for m in ("AKIA", "gh", "xox")])
     none = F.array().cast("array<string>")
-    named = F.when(marked, F.arrays_zip(F.regexp_extract_all("text", F.lit(CONTEXT), 1).alias("name"), F.regexp_extract_all("text", F.lit(CONTEXT), 2).alias("value")))
+    named = F.when(marked, F.arrays_zip(*[F.regexp_extract_all("text", F.lit(CONTEXT), i).alias(g) for i, g in enumerate(("name", "quoted", "bare"), 1)]))
     bare = F.when(issued, F.regexp_extract_all("text", F.lit(ISSUED), 1)).otherwise(none)
-    empty = F.array().cast("array<struct<name:string,value:string>>")
-    found = rows.where(marked | issued).select("doc_id", F.concat(F.coalesce(named, empty), F.transform(bare, lambda v: F.struct(F.lit("issued").alias("name"), v.alias("value")))).alias("found"))
-    values = found.select("doc_id", F.posexplode("found").alias("n", "f")).select("doc_id", "n", F.lower("f.name").alias("name"), F.regexp_replace("f.value", r"[,;.)\]}>]+$", "").alias("value"))
+    empty = F.array().cast("array<struct<name:string,quoted:string,bare:string>>")
+    found = rows.where(marked | issued).select("doc_id", F.concat(F.coalesce(named, empty), F.transform(bare, lambda v: F.struct(F.lit("issued").alias("name"), F.lit("").alias("quoted"), v.alias("bare")))).alias("found"))
+    value = F.when(F.col("f.quoted") != "", F.col("f.quoted")).otherwise(F.regexp_replace("f.bare", r"[,;.)\]}>]+$", ""))
+    values = found.select("doc_id", F.posexplode("found").alias("n", "f")).select("doc_id", "n", F.lower("f.name").alias("name"), value.alias("value"))
     scored = values.withColumn("s", score("value"))
     return scored.select("doc_id", "n", "name", "value", (F.col("s.bits") * math.log10(2)).alias("log10_guesses"), F.col("s.parts").alias("parts"), (F.col("s.bits") >= min_bits).alias("is_secret"))

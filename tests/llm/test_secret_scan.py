@@ -66,6 +66,13 @@ def test_contexts(spark):
     ]
 
 
+def test_quoted_values_are_whole(spark):
+    phrase, key, long = "correct horse battery staple zebra", "9fB3xQ\"7zLk2Vw8Rt5Yp1Nd6H", "a b\\\"" * 100_000
+    texts = [f'passphrase = "{phrase}"', f"password = '{key}'", 'password="ab c9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"', f'{{"token": "{phrase}.)", "pwd": "x\\"y z"}}', f'secret="{long}" x', f'secret = "k8Jx2mQ9 opens\nonly"', "token='' pwd='abc' "]
+    assert [(r[0], r[3]) for r in found(spark, *texts)] == [(0, phrase), (1, key), (2, "ab c9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"), (3, phrase + ".)"), (3, 'x\\"y z'), (4, long), (5, "k8Jx2mQ9")]
+    assert [r[4] for r in found(spark, *texts[:3])] == [True] * 3
+
+
 def test_endless_chains_of_words(spark):
     key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
     got = found(spark, "a_" * 60_000 + f"token={key}", "b-" * 60_000 + " : ", "x" * 200_000 + f" secret: {key}", f"my_own_app_of_the_year_api_key={key}")
