@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 from lexward.llm import guesses
 from lexward.llm.common import plain
 
-#: Names after which a value is a credential.
-NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
+#: Where a word begins within a camelCase name. Patterns ignore case but here.
+_HUMP = "(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+
+#: Names after which a value is a credential. A key needs a word before it, of any kind: secret_key, encryptionKey.
+NAMES = rf"pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|auth|private)key|(?:(?<=[a-z0-9][_-])|{_HUMP})key|credentials?"
 
 #: A value in quotes, its first quote read already: all up to the same quote on the line, which a backslash escapes.
 _QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{4,}}+(?={q})" for q in "\"'")
 
-#: name = value, name: value, quoted or not. Groups: name, value in quotes, value without. The latter ends at white
-#: space or a quote, as does one whose quote isn't closed on the line. A name
-#: is told with up to eight words before it; what stands before those doesn't matter to the match, and a bound keeps
-#: the search linear and off the engine's stack where a text has endless chains of words.
-CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?+(?:({_QUOTED})|([^\s\"']{{4,}}))"
+#: A line that has a name and value of its own: it is not the value of a name before it.
+_NAMED_LINE = r"[\"']?[\w.-]++[\"']?\h*+(?::(?:[=\s\"']|\z)|=>?\h*+[^\s=])"
+
+#: name = value, name: value, also with :=, => and ==, quoted or not, among any white space; the value may stand on a
+#: later line. Groups: name, value in quotes, value without. The latter ends at white space or a quote, as does one
+#: whose quote isn't closed on the line. A name begins at a word, also at one within a camelCase name. It is told
+#: with up to eight words before it; what stands before those doesn't matter to the match, and a bound keeps the
+#: search linear and off the engine's stack where a text has endless chains of words.
+CONTEXT = (
+    rf"(?i)((?:(?<![a-z0-9])(?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:[a-z0-9]{{1,64}}{_HUMP})?|{_HUMP})(?:{NAMES}))"
+    rf"[\"']?+\s*+(?>:=|=>|={{1,3}}|:)\h*+(?:\v\s*+(?!{_NAMED_LINE}))?+[\"']?+(?:({_QUOTED})|([^\s\"']{{4,}}))"
+)
 
 #: Of each name what all its spellings contain, in lower case: a text without any is not searched.
-_MARKS = ("passw", "pwd", "passphrase", "secret", "token", "key", "credential")
+_MARKS = ("pass", "pwd", "secret", "token", "key", "credential")
 
 #: A value that takes at least 2 to this power guesses is a secret.
 MIN_BITS = 40.0

@@ -73,6 +73,28 @@ def test_quoted_values_are_whole(spark):
     assert [r[4] for r in found(spark, *texts[:3])] == [True] * 3
 
 
+def test_spellings_of_contexts(spark):
+    key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
+    forms = ['password          = "{}"', '{{"password":       "{}"}}', "password=\n    {}", 'password := "{}"', 'password => "{}"', "password == '{}'", "password === {}", "password\t\t\t\t\t:\r\n\r\n\t\t\t{}", "password:\u00a0{}"]
+    names = ["clientSecret", "accessToken", "dbPassword", "SECRET_KEY", "secret_key", "encryption_key", "DB_PASS", "encryptionKey", "DBPassword", "pass", "x" * 100 + "Secret"]
+    got = found(spark, *[f.format(key) for f in forms], *[f"{n} = {key}" for n in names])
+    assert [(r[0], r[3]) for r in got] == [(i, key) for i in range(len(forms) + len(names))]
+    assert [r[2] for r in got[len(forms) :]] == [*map(str.lower, names[:-1]), "secret"]
+
+
+def test_what_is_no_context(spark):
+    key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
+    assert found(spark, f"monkey = {key}", f"key = {key}", f"compass: {key}", f"password != {key}", f"tokenizer = {key}", "password==abc") == []
+    got = found(spark, f"password:\n      token: {key}", f"secret=\npwd={key}", 'token:\n  "pwd": "k8Jx2mQ9"', "secret:\n  k8Jx2mQ9==")
+    assert [(r[2], r[3]) for r in got] == [("token", key), ("pwd", key), ("pwd", "k8Jx2mQ9"), ("secret", "k8Jx2mQ9==")]
+
+
+def test_contexts_in_linear_time(spark):
+    key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
+    got = found(spark, f"token{' ' * 300_000}={' ' * 300_000}{key}", "aB" * 150_000 + f"Token={key}", ("token" + " " * 1000) * 300 + f"={key}", "secret:\n" * 60_000 + key, "secret=\n" + "a." * 150_000)
+    assert [r[3] for r in got[:-1]] == [key] * 4
+
+
 def test_endless_chains_of_words(spark):
     key = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
     got = found(spark, "a_" * 60_000 + f"token={key}", "b-" * 60_000 + " : ", "x" * 200_000 + f" secret: {key}", f"my_own_app_of_the_year_api_key={key}")
