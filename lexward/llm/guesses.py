@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from importlib import resources
+
+import numpy as np
 
 #: Common words by rank: what passwords are made of, in no corpus's order.
 WORDS = tuple(
@@ -21,9 +25,12 @@ WORDS = tuple(
     placeholder redacted removed hidden masked xxxx value string number text enter replace me please""".split()
 )
 
-_RANK = {word: i + 1 for i, word in reversed(list(enumerate(WORDS)))}
+#: Words of English, German, French and Spanish by falling frequency, after the common ones.
+MORE_WORDS = tuple((resources.files("lexward.llm") / "data" / "words.txt").read_text("utf-8").split())
+
+_RANK = {word: i + 1 for i, word in reversed(list(enumerate(WORDS + MORE_WORDS)))}
+_BEGINNINGS = {word[:i] for word in _RANK for i in range(1, len(word) + 1)}
 _LEET = str.maketrans("4@380!17$5+", "aaebolitsst")
-_LONGEST = max(map(len, WORDS))
 
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFT = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
@@ -53,13 +60,17 @@ def _alphabet(text: str) -> int:
     return size
 
 
-def _word_cost(part: str) -> float | None:
-    lower = part.lower()
-    rank, extra = _RANK.get(lower), 0.0
-    if rank is None:
-        rank, extra = _RANK.get(lower.translate(_LEET)), 1.0
+def _lower(text: str) -> str:
+    """text in lower case, each character still one."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
+def _word_cost(part: str, lower: str, plain: str) -> float | None:
+    """lower: part in lower case; plain: the same with letters for the signs that stand for them."""
+    rank = _RANK.get(plain)
     if rank is None:
         return None
+    extra = 0.0 if lower == plain else 1.0
     if part != lower:
         extra += 1.0 if part[0].isupper() and part[1:] == lower[1:] or part == lower.upper() else sum(c.isupper() for c in part)
     return math.log2(rank + 1) + extra
@@ -80,27 +91,78 @@ def _date_cost(part: str) -> float | None:
     return math.log2(365.0 * (120 if len(year) == 4 else 100)) + (2.0 if sep else 0.0)
 
 
-def part_costs(text: str) -> list[tuple[int, int, float, str]]:
-    """(start, end, bits, kind) of every part of text that is a word, a date, a repeat or a keyboard walk."""
-    n, out = len(text), []
-    runs = [[0] * n for _ in range(4)]  # runs[u - 1][a]: characters from a on that equal the one u places later
-    for unit, run in enumerate(runs, 1):
-        for a in range(n - unit - 1, -1, -1):
-            run[a] = (run[a + 1] if a + 1 < n else 0) + 1 if text[a] == text[a + unit] else 0
+def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, back: bool) -> np.ndarray:
+    """Characters from the places a and b on (or, back, before them) that are the same, for a < b."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = (a - out - (1 << k), b - out - (1 << k)) if back else (a + out, b + out)
+        fits = (x >= 0) & (y < len(ranks[k]))
+        out += (fits & (ranks[k][np.where(fits, x, 0)] == ranks[k][np.where(fits, y, 0)])) << k
+    return out
+
+
+def repeats(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of every longest stretch in which each character equals the one unit places later, units of any length.
+
+    The stretch has its unit twice at least. Of several units of one stretch the shortest is listed, and those up to four.
+    A stretch holds two neighbouring multiples of its unit, from which it is measured both ways by the ranks of
+    substrings whose lengths are powers of two: exact, in n log n steps but for texts of nothing but repeats.
+    """
+    n = len(text)
+    ranks = [np.unique(np.fromiter(map(ord, text), np.int64, n), return_inverse=True)[1]]
+    while 2 << (k := len(ranks) - 1) <= n:
+        last, h = ranks[k], 1 << k
+        ranks.append(np.unique(last[:-h] * (n + 1) + last[h:], return_inverse=True)[1])
+    found: dict[tuple[int, int], set[int]] = {}
+    low = 1
+    for k, rank in enumerate(ranks):
+        # Of a unit in this range the half, that must agree on one side, is at least 2 to the k.
+        units = np.arange(low, min(n // 2, (4 << k) - 2) + 1)
+        low = (4 << k) - 1
+        counts = (n - 1) // units
+        u = np.repeat(units, counts)
+        a = (np.arange(len(u)) - np.repeat(np.cumsum(counts) - counts, counts)) * u
+        b = a + u
+        near = np.zeros(len(u), bool)
+        for x, y in ((a, b), (a - (1 << k), b - (1 << k))):
+            fits = (x >= 0) & (y < len(rank))
+            near |= fits & (rank[np.where(fits, x, 0)] == rank[np.where(fits, y, 0)])
+        a, b, u = a[near], b[near], u[near]
+        start, end = a - _common(ranks, a, b, True), b + _common(ranks, a, b, False)
+        long = end - start >= np.maximum(2 * u, 3)
+        for s, e, unit in zip(start[long].tolist(), end[long].tolist(), u[long].tolist()):
+            seen = found.setdefault((s, e), set())
+            if not seen or unit < min(seen) or unit <= 4:
+                seen.add(unit)
+    return sorted((s, e, unit) for (s, e), seen in found.items() for unit in seen if unit <= 4 or unit == min(seen))
+
+
+def part_costs(text: str) -> Iterator[tuple[int, int, float, str]]:
+    """(start, end, bits, kind) of every part of text that is a word, a date, a repeat or a keyboard walk, by start."""
+    n, lower = len(text), _lower(text)
+    plain = lower.translate(_LEET)
+    runs = repeats(text)[::-1] if n else []
+    active: list[tuple[int, int, float]] = []  # the stretches that a lies in: end, unit, bits of the unit
     for a in range(n):
-        for b in range(a + 2, min(n, a + _LONGEST) + 1):
-            cost = _word_cost(text[a:b])
+        b = a + 1
+        while b <= n and plain[a:b] in _BEGINNINGS:
+            cost = _word_cost(text[a:b], lower[a:b], plain[a:b]) if b - a > 1 else None
             if cost is not None:
-                out.append((a, b, cost, "word"))
+                yield a, b, cost, "word"
+            b += 1
         for b in range(a + 4, min(n, a + 10) + 1) if text[a].isdigit() else ():
             cost = _date_cost(text[a:b])
             if cost is not None:
-                out.append((a, b, cost, "date"))
-        # A repeat is a unit of up to four characters written over and over, as often as it goes.
-        for unit, run in enumerate(runs, 1):
-            times = run[a] // unit + 1
-            if times > 1 and times * unit >= 3:
-                out.append((a, a + times * unit, unit * math.log2(max(_alphabet(text[a : a + unit]), 2)) + math.log2(times), "repeat"))
+                yield a, b, cost, "date"
+        # A repeat is a unit written over and over, as often as it goes.
+        while runs and runs[-1][0] == a:
+            _, end, unit = runs.pop()
+            active.append((end, unit, unit * math.log2(max(_alphabet(text[a : a + unit]), 2))))
+        active = [x for x in active if x[0] - a >= 2 * x[1]]
+        for end, unit, bits in active:
+            times = (end - a) // unit
+            if times * unit >= 3:
+                yield a, a + times * unit, bits + math.log2(times), "repeat"
         b, turns, step = a + 1, 1, None
         while b < n and b - a < LONGEST_WALK and _next_to(text[b - 1], text[b]):
             p, q = (_AT[_SHIFT.get(c, c.lower())] for c in text[b - 1 : b + 1])
@@ -108,8 +170,7 @@ def part_costs(text: str) -> list[tuple[int, int, float, str]]:
             turns += step is not None and way != step
             step, b = way, b + 1
             if b - a >= 3:
-                out.append((a, b, math.log2(47 * (b - a)) + 2.3 * turns, "walk"))
-    return out
+                yield a, b, math.log2(47 * (b - a)) + 2.3 * turns, "walk"
 
 
 def segment(text: str) -> tuple[float, list[tuple[str, str]]]:
@@ -122,16 +183,22 @@ def segment(text: str) -> tuple[float, list[tuple[str, str]]]:
     n = len(text)
     if not n:
         return 0.0, []
-    ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for a, b, cost, kind in part_costs(text):
-        ending[b].append((a, cost + 1.0, kind))
     single = math.log2(max(_alphabet(text), 2))
-    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-    for i in range(1, n + 1):
-        best[i], back[i] = best[i - 1] + single, (i - 1, "brute")
-        for a, cost, kind in ending[i]:
-            if best[a] + cost < best[i]:
-                best[i], back[i] = best[a] + cost, (a, kind)
+    best, back, done = [0.0] + [math.inf] * n, [(0, "")] * (n + 1), 0
+
+    def reach(start: int) -> None:
+        """All parts that end at the places up to start have been seen: brute force may be cheaper still."""
+        nonlocal done
+        while done < start:
+            done += 1
+            if best[done - 1] + single <= best[done]:
+                best[done], back[done] = best[done - 1] + single, (done - 1, "brute")
+
+    for a, b, cost, kind in part_costs(text):
+        reach(a)
+        if best[a] + (cost + 1.0) < best[b]:
+            best[b], back[b] = best[a] + (cost + 1.0), (a, kind)
+    reach(n)
     parts, i = [], n
     while i:
         a, kind = back[i]

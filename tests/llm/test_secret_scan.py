@@ -1,4 +1,6 @@
 import math
+import random
+import string
 
 import pytest
 from fixtures import LONG, ROWS, empty, messy
@@ -40,6 +42,39 @@ def test_kinds(text, kinds):
     assert [k for k, _ in G.segment(text)[1]] == kinds
 
 
+@pytest.mark.parametrize("text", ["international", "Internationale", "butterfly", "wissenschaft", "Gesellschaft", "straße", "développement", "montagne", "información", "universidad", "ordenador"])
+def test_words_of_the_languages_are_weak(text):
+    bits, parts = G.segment(text)
+    assert bits < S.MIN_BITS / 2 + 2 and [k for k, _ in parts] == ["word"]
+
+
+def test_repeats_of_long_units():
+    assert G.segment("xK9#p" * 3)[1] == [("repeat", "xK9#p" * 3)]
+    assert G.segment("xK9#p" * 3)[0] < G.segment("xK9#p")[0] + 4
+    unit = "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"
+    assert [k for k, _ in G.segment(unit * 2)[1]] == ["repeat"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abc"), max_size=40))
+def test_repeats_by_plain_loops(text):
+    n, want = len(text), {}
+    for unit in range(1, n // 2 + 1):
+        same = [text[i] == text[i + unit] for i in range(n - unit)]
+        for s in range(n - unit):
+            if same[s] and (s == 0 or not same[s - 1]):
+                e = next((i for i in range(s, n - unit) if not same[i]), n - unit) + unit
+                if e - s >= max(2 * unit, 3):
+                    want.setdefault((s, e), []).append(unit)
+    assert not n or G.repeats(text) == sorted((s, e, u) for (s, e), units in want.items() for u in units if u <= 4 or u == units[0])
+
+
+def test_random_keys_stay_strong():
+    rng = random.Random(1)
+    for letters, size in (("0123456789abcdef", 32), (string.ascii_letters + string.digits, 20), (string.ascii_lowercase, 16)):
+        assert all(G.segment("".join(rng.choices(letters, k=size)))[0] >= S.MIN_BITS for _ in range(100))
+
+
 def test_weak_below_strong():
     order = ["password", "password1", "Dragon2019", "correcthorse", "k8Jx2mQ9", "9fB3xQ7zLk2Vw8Rt5Yp1Nd6H"]
     bits = [G.segment(t)[0] for t in order]
