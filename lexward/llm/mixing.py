@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexward.llm.common import cut, hinted
+from lexward.llm.common import cut, hinted, plain
+from lexward.llm.token_counts import lengths
 
 #: Marginals raked by default, each with the exponent that tempers its observed token shares into targets.
 DEFAULT_TARGETS: dict[str, float] = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -33,8 +35,15 @@ def topic_of(text: Column) -> Column:
     return out.otherwise(OTHER_TOPIC)
 
 
-def tokens_of(text: Column) -> Column:
-    """Estimated tokens: a quarter of the UTF-8 bytes, rounded up."""
+def tokens_of(text: Column, ranks_path: str | None = None) -> Column:
+    """Estimated tokens, a quarter of the UTF-8 bytes, rounded up; with a vocabulary's rank file the exact ones."""
+    if ranks_path:
+
+        @F.arrow_udf("bigint")
+        def count(texts: pa.Array) -> pa.Array:
+            return pa.array(lengths(plain(texts), ranks_path), pa.int64())
+
+        return count(text)
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("bigint")
 
 
@@ -43,11 +52,11 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def _described(docs: DataFrame, doc_id: str) -> DataFrame:
+def _described(docs: DataFrame, doc_id: str, ranks_path: str | None = None) -> DataFrame:
     """(row, key, source, lang, topic, tokens): the whole row apart, so no name clashes."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     named = {c: F.coalesce(docs[c].cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")}
-    return docs.select(row, docs[f"`{doc_id}`"].alias("key"), *named.values(), topic_of(docs["text"]).alias("topic"), tokens_of(docs["text"]).alias("tokens"))
+    return docs.select(row, docs[f"`{doc_id}`"].alias("key"), *named.values(), topic_of(docs["text"]).alias("topic"), tokens_of(docs["text"], ranks_path).alias("tokens"))
 
 
 def _target(shares: dict[str, float], wanted: float | Mapping[str, float]) -> dict[str, float]:
@@ -112,13 +121,14 @@ def _rake_there(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
     return out.select(*targets, "tokens", "factor")
 
 
-def fit(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, doc_id: str = "doc_id") -> tuple[DataFrame, int]:
+def fit(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, doc_id: str = "doc_id", ranks_path: str | None = None) -> tuple[DataFrame, int]:
     """(source, lang, topic, tokens, probability) of every cell of the contingency table, and their number.
 
     The tokens of all documents are counted. The probability is the raked factor over the greatest one: the
     largest sample that has the target shares with no document taken twice. fraction scales it down.
+    Tokens are estimated by bytes; with ranks_path, the rank file of a vocabulary, they are counted exactly.
     """
-    cells = cut(_described(docs, doc_id).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
+    cells = cut(_described(docs, doc_id, ranks_path).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
     n = cells.count()
     raked = (_rake_here if n <= DRIVER_CELLS else _rake_there)(cells, targets, rounds)
     most = raked.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
@@ -126,27 +136,28 @@ def fit(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUND
     return raked.select("source", "lang", "topic", "tokens", p.alias("probability")), n
 
 
-def _sampled(docs: DataFrame, targets: Mapping, rounds: int, fraction: float, seed: int, doc_id: str) -> DataFrame:
-    cells, n = fit(docs, targets, rounds, fraction, doc_id)
-    described = _described(docs, doc_id).withColumn("u", _uniform(F.col("key"), seed))
+def _sampled(docs: DataFrame, targets: Mapping, rounds: int, fraction: float, seed: int, doc_id: str, ranks_path: str | None) -> DataFrame:
+    cells, n = fit(docs, targets, rounds, fraction, doc_id, ranks_path)
+    described = _described(docs, doc_id, ranks_path).withColumn("u", _uniform(F.col("key"), seed))
     return described.join(hinted(cells.drop("tokens"), n, 160), ["source", "lang", "topic"]).where(F.col("u") < F.col("probability"))
 
 
-def mixture(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, seed: int = 0, doc_id: str = "doc_id") -> DataFrame:
+def mixture(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, seed: int = 0, doc_id: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability) of the documents drawn.
 
     Each document is drawn on its own with its cell's probability, by a hash of its id: repeated rows share one
     fate, as do all rows with a null id. A null source or language is the value '∅'. A null or empty text has
     no tokens; where all texts of a cell are so, the cell's probability is 0. Only the columns named are read.
     An empty table, or one without any token, gives an empty result. Targets of values that don't occur are shared out among the others.
+    The marginals are shares of estimated tokens, as in oracle(); with ranks_path, of exact ones.
     """
-    out = _sampled(docs, targets, rounds, fraction, seed, doc_id)
+    out = _sampled(docs, targets, rounds, fraction, seed, doc_id, ranks_path)
     return out.select(F.col("key").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
 
 
-def sample_mixture(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, seed: int = 0, doc_id: str = "doc_id") -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: Mapping = DEFAULT_TARGETS, rounds: int = ROUNDS, fraction: float = 1.0, seed: int = 0, doc_id: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
     """The rows of docs that mixture() draws, with all their columns as they were."""
-    return _sampled(docs, targets, rounds, fraction, seed, doc_id).select("row.*")
+    return _sampled(docs, targets, rounds, fraction, seed, doc_id, ranks_path).select("row.*")
 
 
 def oracle(targets: Mapping[str, float] = DEFAULT_TARGETS, rounds: int = ROUNDS, seed: int = 0) -> str:

@@ -3,6 +3,7 @@ import pytest
 from fixtures import ROWS, empty, messy
 
 from lexward.llm import mixing as M
+from lexward.llm import vocabulary
 
 
 def test_raked_marginals():
@@ -36,6 +37,24 @@ def test_sample_has_the_targets(spark, small):
         assert (share - target).abs().max() < 0.05
 
 
+def test_exact_tokens_have_the_targets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    cells = M.fit(docs, ranks_path=vocabulary.DEFAULT_RANKS)[0].toPandas()
+    table = M._described(docs, "doc_id").select("source", "lang", "topic", "row.text").toPandas()
+    table["real"] = [len(vocabulary.encoding(vocabulary.DEFAULT_RANKS).encode_ordinary(t)) for t in table["text"]]
+    real = table.groupby(["source", "lang", "topic"])["real"].sum()
+    assert cells.set_index(["source", "lang", "topic"])["tokens"].to_dict() == real.to_dict()
+    weight = cells["tokens"] * cells["probability"]
+    for c, alpha in M.DEFAULT_TARGETS.items():
+        seen = real.groupby(c).sum() / real.sum()
+        share = weight.groupby(cells[c]).sum() / weight.sum()
+        assert (share - seen**alpha / (seen**alpha).sum()).abs().max() < 1e-3
+    got = {r["doc_id"]: r["tokens"] for r in M.mixture(docs, ranks_path=vocabulary.DEFAULT_RANKS).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert got and all(len(vocabulary.encoding(vocabulary.DEFAULT_RANKS).encode_ordinary(texts[i])) == n for i, n in got.items())
+    assert {r["doc_id"] for r in M.sample_mixture(docs, ranks_path=vocabulary.DEFAULT_RANKS).collect()} == set(got)
+
+
 def test_given_weights(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     langs = [r["lang"] for r in docs.select("lang").distinct().collect()]
