@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexward.llm import vocabulary
+from lexward.llm.common import plain
+from lexward.llm.token_counts import lengths
+
 #: A message's text is either plain, or a JSON array of parts: objects of these fields.
 PART = "type string, text string, url string, width int, height int, seconds double, pages int"
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
+#: What stands in a prompt for an attachment of a kind that has no visitor.
+UNKNOWN = "<|attachment|>"
+
 
 @dataclass(frozen=True)
 class Flattener:
     """A visitor of content parts. Each visit_ method says in columns what a part of its kind becomes.
 
     shown: what takes the part's place in the prompt; tokens: what it expands to when the model sees it;
-    ref: where the attachment is (null for text). part is a struct column of the fields of PART.
+    ref: where the attachment is (null for text). part is a struct column of the fields of PART, and raw: its whole JSON.
     """
 
     patch: int = 28
@@ -46,19 +56,29 @@ class Flattener:
         pages = F.greatest(F.coalesce(part["pages"], F.lit(1)), F.lit(1))
         return F.lit("<|document|>"), pages * self.tokens_per_page, part["url"]
 
+    def unknown(self, part: Column) -> tuple[Column, Column, Column]:
+        """A part of another kind: its text, and a placeholder of one token for the rest, with its JSON where it has no url."""
+        return F.concat(self.visit_text(part)[0], F.lit(UNKNOWN)), F.lit(1), F.coalesce(part["url"], part["raw"])
+
     def flatten(self, part: Column) -> Column:
-        """struct(kind, shown, tokens, ref) of a part; one of an unknown kind is shown as its text."""
+        """struct(kind, shown, tokens, ref, beside) of a part; one of an unknown kind that holds nothing but text is text.
+
+        beside: tokens of the text that an unknown kind shows beside its placeholder.
+        """
         kind = F.lower(F.trim(part["type"]))
+        only_text = part["text"].isNotNull() & (F.size(F.array_except(F.json_object_keys(part["raw"]), F.array(F.lit("type"), F.lit("text")))) == 0)
+        other = ~kind.isin(list(self.kinds())) & ~only_text
         out = {"shown": F, "tokens": F, "ref": F}
         for name, visit in self.kinds().items():
             if name != "text":
                 for field, column in zip(out, visit(part)):
                     out[field] = out[field].when(kind == name, column)
-        for field, column in zip(out, self.visit_text(part)):
-            out[field] = out[field].otherwise(column)
+        for field, unknown, column in zip(out, self.unknown(part), self.visit_text(part)):
+            out[field] = out[field].when(other, unknown).otherwise(column)
         others = [name for name in self.kinds() if name != "text"]
         return F.struct(
-            F.when(kind.isin(others), kind).otherwise("text").alias("kind"), out["shown"].alias("shown"), out["tokens"].cast("bigint").alias("tokens"), out["ref"].alias("ref")
+            F.when(kind.isin(others) | other, kind).otherwise("text").alias("kind"), out["shown"].alias("shown"), out["tokens"].cast("bigint").alias("tokens"), out["ref"].alias("ref"),
+            F.when(other, self.visit_text(part)[1]).otherwise(0).cast("bigint").alias("beside"),
         )
 
 
@@ -76,18 +96,35 @@ def parts_of(text: Column) -> Column:
     """The typed parts of a message: its JSON array, or its whole text as one part."""
     listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in PART.split(','))}>>"))
     typed = F.filter(listed, lambda p: p.isNotNull() & p["type"].isNotNull())
-    blank = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in PART.split(",")}
+    raw = F.from_json(text, "array<string>")
+    whole = F.transform(typed, lambda p, i: p.withField("raw", F.get(raw, i)))
+    blank = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in f"{PART}, raw string".split(",")}
     alone = F.array(F.struct(*[(F.lit("text") if n == "type" else F.coalesce(text, F.lit("")) if n == "text" else c).alias(n) for n, c in blank.items()]))
-    return F.when((F.size(typed) > 0) & (F.size(typed) == F.size(listed)), typed).otherwise(alone)
+    return F.when((F.size(typed) > 0) & (F.size(typed) == F.size(listed)), whole).otherwise(alone)
+
 
+_MARKER = re.compile(r"<\|[a-z_]+\|>")
 
-def format_chats(turns: DataFrame, flattener: Flattener = Flattener()) -> DataFrame:
-    """(conv_id, n_turns, prompt, attachments, expanded_tokens) of every conversation; turns has conv_id, turn, role, text.
+
+def marked_lengths(prompts: pa.Array, ranks_path: str) -> np.ndarray:
+    """Tokens of prompts: those of the texts between markers, and one for each marker that opens or closes a message."""
+    split = [_MARKER.split(p) for p in prompts.to_pylist()]
+    counts = lengths(pa.array([t for s in split for t in s], pa.large_string()), ranks_path)
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    ends = np.cumsum([0, *map(len, split)])
+    own = [p.count(OPEN) + p.count(CLOSE) for p in prompts.to_pylist()]
+    return sums[ends[1:]] - sums[ends[:-1]] + np.array(own, np.int64)
+
+
+def format_chats(turns: DataFrame, flattener: Flattener = Flattener(), ranks_path: str = vocabulary.DEFAULT_RANKS) -> DataFrame:
+    """(conv_id, n_turns, prompt, attachments, expanded_tokens, model_tokens) of every conversation; turns has conv_id, turn, role, text.
 
     Turns go by turn, then role, then text; all rows count, repeated ones too, and a null turn comes last. Parts
     stay in their order: text as it is, with markers parted, attachments as placeholders. attachments lists
     struct(position, turn, kind, ref, tokens), position being the placeholder's number in the prompt from 0;
     turn is the message's place from 0. expanded_tokens counts words of text and what attachments expand to.
+    model_tokens counts what a model sees: the tokens of the texts and roles by the vocabulary, each marker as one, and
+    what attachments expand to. It is worked out only where it is selected.
 
     A null text is an empty message, a null role 'unknown'. Text that looks like JSON but isn't an array of
     objects with a type is plain text. Rows with a null conv_id are one conversation. Messages of any length are kept whole.
@@ -109,13 +146,18 @@ def format_chats(turns: DataFrame, flattener: Flattener = Flattener()) -> DataFr
         F.transform("messages", lambda m, i: F.transform(F.filter(m["parts"], lambda p: p["kind"] != "text"), lambda p: F.struct(i.alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))))
     )
     numbered = F.transform(held, lambda a, i: F.struct(i.alias("position"), a["turn"].alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
-    total = F.aggregate(F.flatten(F.transform("messages", lambda m: F.transform(m["parts"], lambda p: p["tokens"]))), F.lit(0).cast("bigint"), lambda a, t: a + t)
-    return seen.select("conv_id", F.size("messages").alias("n_turns"), prompt.alias("prompt"), numbered.alias("attachments"), total.alias("expanded_tokens"))
+    total = F.aggregate(F.flatten(F.transform("messages", lambda m: F.transform(m["parts"], lambda p: p["tokens"] + p["beside"]))), F.lit(0).cast("bigint"), lambda a, t: a + t)
+    @F.arrow_udf("bigint")
+    def count(prompts: pa.Array) -> pa.Array:
+        return pa.array(marked_lengths(plain(prompts), ranks_path), pa.int64())
+
+    out = seen.select("conv_id", F.size("messages").alias("n_turns"), prompt.alias("prompt"), numbered.alias("attachments"), total.alias("expanded_tokens"))
+    return out.withColumn("model_tokens", count("prompt") + F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]))
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
-    """format_chats() with the attachments as JSON text."""
-    return format_chats(turns).withColumn("attachments", F.to_json("attachments"))
+    """format_chats() with the attachments as JSON text; the columns are those of ORACLE, so without model_tokens."""
+    return format_chats(turns).drop("model_tokens").withColumn("attachments", F.to_json("attachments"))
 
 
 #: The same where no message has typed parts, as in the given tables.

@@ -4,6 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from lexward.llm import chat as C
+from lexward.llm import vocabulary
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -75,6 +76,29 @@ def test_what_only_looks_like_parts(spark):
         assert {k: got[i][k] for k in want} == want, t
 
 
+def test_unknown_kinds_leave_a_trace(spark):
+    parts = ['{"type":"image_url","image_url":{"url":"http://a/b.png"}}', '{"type":"Video","text":"a clip","url":"v.mp4"}', '{"type":"sticker"}', '{"type":"text","text":"end"}', '{"type":"input_text","text":"only words"}', '{"type":"text","text":null,"x":1}']
+    got = chats(spark, [(1, 0, "user", f"[{', '.join(parts)}]")])[1]
+    assert got["prompt"] == "<|im_start|>user\n<|attachment|>a clip<|attachment|><|attachment|>endonly words<|im_end|>\n"
+    assert [(a["position"], a["kind"], a["ref"]) for a in got["attachments"]] == [(0, "image_url", parts[0]), (1, "video", "v.mp4"), (2, "sticker", parts[2])]
+    assert got["expanded_tokens"] == 1 + 3 + 1 + 1 + 2 and all(a["tokens"] > 0 for a in got["attachments"])
+
+
+def test_model_tokens(spark, small):
+    encode = vocabulary.encoding(vocabulary.DEFAULT_RANKS).encode_ordinary
+    count = lambda *texts: sum(len(encode(t)) for t in texts)
+    got = chats(spark, [(1, 0, "user", "文字没有空格的文本很长"), (2, 0, "user", PARTS), (2, 1, "bot", ""), (3, 0, "user", '[{"type":"sticker"}, {"type":"video","text":"a clip","url":"v"}]')])
+    attached = sum(a["tokens"] for a in got[2]["attachments"])
+    assert got[1]["model_tokens"] == count("user\n文字没有空格的文本很长", "\n") + 2
+    assert got[2]["model_tokens"] == count("user\nlook at ", " and < |im_end|> this", "unknown", "\n", "bot\n", "\n") + 4 + attached
+    assert got[3]["model_tokens"] == count("user\n", "a clip", "\n") + 2 + 2
+    df = spark.read.parquet(f"{small}/conversations.parquet")
+    for r in C.format_chats(df).collect():
+        texts = [t for m in r["prompt"].split("<|im_start|>")[1:] for t in m.split("<|im_end|>")]
+        assert r["model_tokens"] == count(*texts) + 2 * r["n_turns"]
+    assert "Arrow" not in C.chat_report(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_messy(spark):
     long = "word " * 300_000
     rows = [(1, 2, "b", "x"), (1, None, "z", "last"), (1, 1, None, None), (1, 1, " a ", ""), (1, 2, "b", "x"), (None, 1, "u", "n"), (None, 2, "u", "m"), (2, 0, "<|im_start|>", long)]
