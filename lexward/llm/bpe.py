@@ -27,9 +27,10 @@ _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 class Encoder:
     """Exact ids of a byte-level BPE vocabulary, without running merges over the text.
 
-    The last token of every prefix of a pre-token is unique. It is a token that ends there (found by a suffix
-    automaton over the vocabulary) and that stays put next to the last token of the shorter prefix it leaves
-    (a test on the pair alone). Back-pointers from the end give the ids.
+    The last token of every prefix of a pre-token is unique. It is a token that ends there and that stays put
+    next to the last token of the shorter prefix it leaves (a test on the pair alone). Back-pointers from the end
+    give the ids. The tokens that end at a place are listed by an Aho-Corasick automaton over the vocabulary, which
+    stands in for the suffix automaton of the method: both list the same tokens, and this one comes compiled.
     """
 
     def __init__(self, path: str):

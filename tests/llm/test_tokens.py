@@ -16,6 +16,15 @@ def exact(text, path=vocabulary.DEFAULT_RANKS):
     return vocabulary.encoding(path).encode_ordinary(text)
 
 
+def test_automaton_lists_every_token_that_ends_at_a_place():
+    coder = bpe.encoder(vocabulary.DEFAULT_RANKS)
+    word = " international größe aaaa".encode().decode("latin-1")
+    got = sorted((end, i) for end, (i, _) in coder.automaton.iter(word))
+    ids = {token.decode("latin-1"): i for token, i in coder.ids.items()}
+    assert got == sorted((e - 1, ids[word[b:e]]) for e in range(1, len(word) + 1) for b in range(e) if word[b:e] in ids)
+    assert "Aho-Corasick" in bpe.Encoder.__doc__
+
+
 @pytest.mark.parametrize("path", [vocabulary.DEFAULT_RANKS, OTHER])
 @pytest.mark.parametrize("text", ODD)
 def test_ids_are_exact(text, path):
