@@ -11,16 +11,15 @@ from lexward.llm import simhash
 from lexward.llm.common import cut, hinted
 from lexward.llm.components import components
 
-#: Pairs are kept that share at least so many of the 16 positional bytes: all that differ in up to 13 bits do.
-MIN_SHARED = 3
+#: Pairs are kept that share at least so many of the 16 positional bytes: all that differ in up to 14 bits do.
+MIN_SHARED = 2
 
 #: Verified pairs differ in at most so many of the 128 bits over words, and of the 128 over word pairs.
 MAX_WORD_BITS = 24
 MAX_PAIR_BITS = 36
 
-#: The index's positions fall into MIN_SHARED - 1 blocks; three shared bytes put two into one block.
-_BLOCKS = (range(0, 8), range(8, 16))
-_PAIRS = [(i, j) for block in _BLOCKS for i in block for j in block if i < j]
+#: Two shared bytes are any two positions.
+_PAIRS = [(i, j) for i in range(16) for j in range(16) if i < j]
 
 #: With more fingerprints than this a list is kept for each value of two bytes instead of one; the pairs are the same.
 WIDE_FROM = 1 << 28
@@ -73,7 +72,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def list_pairs(words: np.ndarray, i: int, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs within the list of one value of byte i, by rows of words (n x 4 of uint64).
 
-    For each later position of the block, rows are sorted by that byte; rows at growing distances meet while
+    For each later position, rows are sorted by that byte; rows at growing distances meet while
     their bytes agree. Shared bytes are tallied over all positions, and a pair counts at its first two shared
     positions only, so it is found once among all lists.
     """
@@ -93,11 +92,7 @@ def list_pairs(words: np.ndarray, i: int, others: list[int]) -> tuple[np.ndarray
             near = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= MAX_WORD_BITS)
             if len(near):
                 shared = x[near].view(np.uint8).reshape(len(near), 16) == 0
-                block = _BLOCKS[0] if i in _BLOCKS[0] else _BLOCKS[1]
-                own = shared[:, block.start : block.stop]
-                good = (shared.sum(axis=1) >= MIN_SHARED) & ~own[:, : i - block.start].any(axis=1) & ~own[:, i + 1 - block.start : j - block.start].any(axis=1)
-                if block is _BLOCKS[1]:
-                    good &= shared[:, :8].sum(axis=1) < 2
+                good = (shared.sum(axis=1) >= MIN_SHARED) & ~shared[:, :i].any(axis=1) & ~shared[:, i + 1 : j].any(axis=1)
                 near = near[good]
                 a, b = order[left[near]], order[left[near] + step]
                 same = simhash.distances(words[a, 2:], words[b, 2:]) <= MAX_PAIR_BITS

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from fixtures import CLASHING, ROWS, empty, messy
 
 from lexward.llm import near_dedup as N
@@ -74,6 +75,31 @@ def test_index_equals_all_pairs(spark):
     assert not got - wanted  # and nothing else
 
 
+def all_pairs(words):
+    """Verified pairs among all, and those that the index finds."""
+    verified, found = set(), set()
+    for i in range(len(words)):
+        near = (simhash.distances(words[i, :2][None], words[i + 1 :, :2]) <= N.MAX_WORD_BITS) & (simhash.distances(words[i, 2:][None], words[i + 1 :, 2:]) <= N.MAX_PAIR_BITS)
+        verified |= {(i, i + 1 + int(j)) for j in np.flatnonzero(near)}
+    octets = words[:, :2].copy().view(np.uint8).reshape(len(words), 16)
+    for i in sorted({i for i, _ in N._PAIRS}):
+        for value in np.unique(octets[:, i]):
+            rows = np.flatnonzero(octets[:, i] == value)
+            a, b = N.list_pairs(words[rows], i, [j for p, j in N._PAIRS if p == i])
+            found |= {tuple(sorted((int(rows[x]), int(rows[y])))) for x, y in zip(a, b)}
+    return verified, found
+
+
+@pytest.mark.parametrize(("low", "high"), [(8, 20), (20, 60), (60, 200), (200, 600)])
+def test_recall_against_all_pairs(low, high):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    bases = [" ".join(rng.choices(vocabulary, k=rng.randrange(low, high))) for _ in range(400)]
+    words, _ = prints([t for b in bases for t in (b, edited(b, rng, 0.06), edited(b, rng, 0.12))])
+    verified, found = all_pairs(words)
+    assert found <= verified and len(found) >= 0.97 * len(verified) > 0
+
+
 def test_wide_lists_give_the_same(spark, monkeypatch):
     ids, texts = corpus(30)
     docs = messy(spark, [(i, t, "en", "web") for i, t in zip(ids, texts)])
