@@ -67,6 +67,15 @@ def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def gathered(values: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values with the codes' numbers one after the other, and where each ends; run i ends at ends[i]."""
+    sizes = np.diff(ends, prepend=0)[codes]
+    out_ends = np.cumsum(sizes)
+    at = np.repeat((ends[codes] - out_ends).astype(np.int64), sizes)
+    at += np.arange(len(at))
+    return values[at], out_ends
+
+
 def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array without nulls (a null becomes an empty text); not copied where it is one already."""
     if isinstance(texts, pa.ChunkedArray):

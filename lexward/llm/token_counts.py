@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import functools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexward.llm import vocabulary
+from lexward.llm import bpe, vocabulary
 from lexward.llm.common import byte_slices, plain
 
 #: Bytes of text that are split and encoded together.
 BATCH_BYTES = 4 << 20
 
-#: A text of more bytes is cut at safe boundaries first, so that one text never makes a larger batch.
-LONG_BYTES = 1 << 20
+#: A text of more characters is cut at safe boundaries first, so that one text never makes a larger batch.
+LONG_CHARS = 1 << 18
 
-#: Parts whose lengths a worker remembers.
-KNOWN_PARTS = 500_000
+#: White space as the vocabulary's pattern has it, for Python's engine and for RE2.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RE2_SPACE = r"[\s\x0b\x{85}\p{Z}]"
+
+#: A run of so much white space is more than the encoder's engine can backtrack over: it is encoded apart.
+_RUN = re.compile(f"[{_SPACE}]{{4096,}}")
 
 
 def cut_points(text: str, size: int) -> list[int]:
@@ -39,53 +44,81 @@ def cut_points(text: str, size: int) -> list[int]:
     return points
 
 
-def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The texts with long ones cut, and the number of pieces of each."""
-    out, counts = [], np.ones(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if len(text) > LONG_BYTES // 4:
-            points = cut_points(text, LONG_BYTES // 4)
-            out.extend(text[a:b] for a, b in zip(points, [*points[1:], len(text)]))
-            counts[i] = len(points)
-        else:
-            out.append(text)
-    return out, counts
+def _without_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """The text cut around its endless runs of white space, and whether each piece is one.
 
+    A run is a pre-token of its own up to its last character, which goes with what follows, so the cuts are exact.
+    """
+    at = 0
+    for m in _RUN.finditer(text):
+        start, end = m.start(), m.end() - (m.end() < len(text))
+        if start > at:
+            yield text[at:start], False
+        yield text[start:end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    for piece, run in _without_runs(text):
+        if run or len(piece) <= LONG_CHARS:
+            yield piece, run
+        else:
+            points = cut_points(piece, LONG_CHARS)
+            yield from ((piece[a:b], False) for a, b in zip(points, [*points[1:], len(piece)]))
 
-@functools.lru_cache(2)
-def _known(ranks_path: str) -> dict[str, int]:
-    """Lengths of space-led parts seen by this worker; emptied between batches when it grows too large."""
-    return {}
 
+def _batch_lengths(texts: pa.Array, ranks_path: str) -> np.ndarray:
+    """Tokens of the texts of a batch, in none of which a space follows white space.
 
-def _batch_lengths(ranks_path: str, pieces: list[str]) -> list[int]:
-    """Tokens of each piece of a batch: split before every space, the parts not yet known encoded together."""
-    encode, known = vocabulary.encoding(ranks_path).encode_ordinary, _known(ranks_path)
-    if len(known) > KNOWN_PARTS:
-        known.clear()
-    split = [p.split(" ") for p in pieces]
-    new = set().union(*[s[1:] for s in split]).difference(known)
-    known.update((w, len(encode(" " + w))) for w in new)
-    length = known.__getitem__
-    return [len(encode(s[0])) + sum(map(length, s[1:])) for s in split]
+    A pre-token begins at every space, so the batch's distinct space-led parts are encoded in one call, as one text;
+    the bytes of its tokens tell where each part ends. What stands before a text's first space is encoded by itself.
+    """
+    encoder = vocabulary.encoding(ranks_path)
+    split = pc.split_pattern(texts, " ")
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    coded = split.flatten().dictionary_encode()
+    heads = np.array([len(x) for x in encoder.encode_ordinary_batch(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist(), num_threads=1)], np.int64)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())), " ")
+    ids = encoder.encode_to_numpy(" " + whole[0].as_py()) if len(coded.dictionary) else np.zeros(0, np.uint32)
+    token_ends = np.cumsum(vocabulary.token_sizes(ranks_path)[ids])
+    part_ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    own = np.diff(np.searchsorted(token_ends, part_ends, side="right"), prepend=0)[coded.indices.to_numpy()]
+    own[offsets[:-1]] = heads
+    return np.add.reduceat(own, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
+
+
+def _lengths(texts: pa.Array, ranks_path: str, batch_bytes: int) -> np.ndarray:
+    encode = vocabulary.encoding(ranks_path).encode_to_numpy
+    unsafe = pc.match_substring_regex(texts, f"{_RE2_SPACE} ").to_numpy(zero_copy_only=False)
+    out = np.zeros(len(texts), np.int64)
+    for start, stop in byte_slices(texts, batch_bytes):
+        part, odd = texts[start:stop], unsafe[start:stop]
+        at = start + np.flatnonzero(~odd)
+        out[at] = _batch_lengths(part.filter(pa.array(~odd)), ranks_path)
+        for i in (start + np.flatnonzero(odd)).tolist():
+            out[i] = len(encode(texts[i].as_py()))
+    return out
 
 
 def lengths(texts: pa.Array, ranks_path: str = vocabulary.DEFAULT_RANKS, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """Exact numbers of tokens of texts without nulls."""
-    encode = vocabulary.encoding(ranks_path).encode_ordinary
-    pieces, counts = _pieces(texts.to_pylist())
-    array = pa.array(pieces, pa.large_string())
-    unsafe = pc.match_substring_regex(array, r"[\s\x0b\x{85}\p{Z}] ").to_pylist()
-    out = np.zeros(len(array), np.int64)
-    for start, stop in byte_slices(array, batch_bytes):
-        safe = [i for i in range(start, stop) if not unsafe[i]]
-        out[safe] = _batch_lengths(ranks_path, [pieces[i] for i in safe])
-        for i in range(start, stop):
-            if unsafe[i]:
-                out[i] = len(encode(pieces[i]))
-    ends = np.cumsum(counts)
-    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(out)])
-    return sums[ends] - sums[ends - counts]
+    texts = texts.cast(pa.large_string())
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    doubtful = pc.match_substring_regex(texts, _RE2_SPACE * 2).to_numpy(zero_copy_only=False) & (sizes > 4000)
+    apart = np.flatnonzero(doubtful | (sizes > LONG_CHARS)).tolist()
+    out = np.zeros(len(texts), np.int64)
+    usual = np.ones(len(texts), bool)
+    usual[apart] = False
+    out[usual] = _lengths(texts.filter(pa.array(usual)) if apart else texts, ranks_path, batch_bytes)
+    for i in apart:  # one at a time: they may be very long
+        pieces = list(_pieces(texts[i].as_py()))
+        runs = [p for p, run in pieces if run]
+        out[i] = _lengths(pa.array([p for p, run in pieces if not run], pa.large_string()), ranks_path, batch_bytes).sum()
+        out[i] += len(bpe.encoder(ranks_path).wholes(runs)[0]) if runs else 0
+    return out
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str = vocabulary.DEFAULT_RANKS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token counts and byte-pair encoding against the merges themselves."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import ROWS, empty, messy
@@ -16,13 +17,28 @@ def exact(text, path=vocabulary.DEFAULT_RANKS):
     return vocabulary.encoding(path).encode_ordinary(text)
 
 
-def test_automaton_lists_every_token_that_ends_at_a_place():
+def test_automaton_lists_every_token_at_its_place():
     coder = bpe.encoder(vocabulary.DEFAULT_RANKS)
-    word = " international größe aaaa".encode().decode("latin-1")
-    got = sorted((end, i) for end, (i, _) in coder.automaton.iter(word))
-    ids = {token.decode("latin-1"): i for token, i in coder.ids.items()}
-    assert got == sorted((e - 1, ids[word[b:e]]) for e in range(1, len(word) + 1) for b in range(e) if word[b:e] in ids)
-    assert "Aho-Corasick" in bpe.Encoder.__doc__
+    word = " international größe aaaa".encode()
+    start, token = coder._matches(np.frombuffer(word, np.uint8), np.arange(len(word), 0, -1, dtype=np.int32))
+    want = sorted((b, coder.ids[word[b:e]]) for e in range(1, len(word) + 1) for b in range(e) if word[b:e] in coder.ids)
+    assert sorted(zip(start.tolist(), token.tolist())) == want
+
+
+@pytest.mark.parametrize("path", [vocabulary.DEFAULT_RANKS, OTHER])
+def test_halves_are_those_of_the_merges(path):
+    coder = bpe.encoder(path)
+
+    def merged(word, below):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda i: (coder.ids.get(parts[i] + parts[i + 1], below), i))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [coder.ids[p] for p in parts]
+
+    for token, i in list(coder.ids.items())[::37]:
+        if len(token) > 1:
+            assert [coder.left[i], coder.right[i]] == merged(token, i)
 
 
 @pytest.mark.parametrize("path", [vocabulary.DEFAULT_RANKS, OTHER])
@@ -43,13 +59,29 @@ def test_ids_of_any_text(text):
 
 
 def test_memory_may_run_out(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_PARTS", 3)
-    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 5)
+    monkeypatch.setattr(bpe, "PAIR_SLOTS", 16)
+    monkeypatch.setattr(bpe, "STEP_BYTES", 20)
+    monkeypatch.setattr(bpe, "LONG_WORD", 6)
     coder = bpe.Encoder(vocabulary.DEFAULT_RANKS)
-    for text in ["some words that differ greatly", "others, unseeable qwzxkj vbnmzzq", "some words again"]:
+    for text in ["some words that differ greatly", "others, unseeable qwzxkj vbnmzzq", "some words again", "an unbrokenchainofletterswithoutend " * 3, " " * 100, "ab" * 200]:
         assert coder.encode(text) == exact(text)
 
 
+def test_slices_of_texts_are_put_together(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 30)
+    texts = ["one, two", "", "two  two\n x", "größe größe one" * 5, "", "don't (stop) 12 1² one,two _a", None, "end."]
+    ids, same = bpe._encode_array(pa.array(texts), vocabulary.DEFAULT_RANKS, check=True)
+    assert ids.to_pylist() == [exact(t or "") for t in texts] and same.all()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\t " * 1_000_000 + "x", "ab" * 300_000, "é" * 100_000 + " " * 70_000 + "a b"], ids=["spaces", "feeds", "mixed", "unbroken", "both"])
+def test_endless_runs(text):
+    coder = bpe.encoder()
+    ids = coder.encode(text)
+    assert coder.decode(ids) == text
+    assert token_counts.lengths(pa.array([text], pa.string())).tolist() == [len(ids)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8), st.integers(1, 50))
 def test_lengths_of_any_texts(texts, batch):
@@ -58,7 +90,7 @@ def test_lengths_of_any_texts(texts, batch):
 
 
 def test_long_texts_are_cut_at_safe_places(monkeypatch):
-    monkeypatch.setattr(token_counts, "LONG_BYTES", 40)
+    monkeypatch.setattr(token_counts, "LONG_CHARS", 10)
     texts = ["a b  c don't  stop\n now " * 30, "x" * 200, "  " * 50, "é ü ß " * 40]
     assert token_counts.lengths(pa.array(texts, pa.string())).tolist() == [len(exact(t)) for t in texts]
     for t in texts:
