@@ -86,10 +86,18 @@ def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Whitespace-separated words: for each word its text's index and its code, and the distinct words."""
     split = pc.utf8_split_whitespace(texts)
-    offsets = split.offsets.to_numpy()
+    counts = np.diff(split.offsets.to_numpy())
     coded = split.flatten().dictionary_encode()
-    counts = np.diff(offsets)
-    return np.repeat(np.arange(len(counts)), counts), coded.indices.to_numpy(), coded.dictionary
+    docs, codes = np.repeat(np.arange(len(counts), dtype=np.int32), counts), coded.indices.to_numpy()
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # before a leading and after a trailing white space
+        docs, codes = docs[codes != empty], codes[codes != empty]
+    return docs, codes, coded.dictionary
+
+
+def joined(words: pa.Array, by: str) -> str:
+    """The words as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), by)[0].as_py()
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -67,7 +67,7 @@ def _slice_fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     some = np.zeros(n, bool)
     some[docs] = True
     # Words, weighted by twice the square root of their number in the document, rounded.
-    keys = np.sort(docs * np.int64(max(len(hashes), 1)) + codes)
+    keys = np.sort(docs.astype(np.int64) * max(len(hashes), 1) + codes)
     at = np.flatnonzero(np.diff(keys, prepend=-1))
     d, c = np.divmod(keys[at], max(len(hashes), 1))
     first = _majority(hashes[c], np.rint(2 * np.sqrt(np.diff(np.append(at, len(keys))))).astype(np.int64), d, n)

@@ -7,46 +7,63 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from lexward.llm.common import byte_slices, mix, plain, words_of
+from lexward.llm.common import byte_slices, joined, plain, words_of
 
-#: Hash buckets that words, their character n-grams and repeats share; a vector is learned for each.
+#: Hash buckets that words and character n-grams share; a vector is learned for each. The first two are for pairs of
+#: neighbouring words, told apart only by whether both are the same word: learned as all others, with no weight of their own.
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
 
-_SLICE = 1 << 20
-_REPEAT = 0
+#: Bytes of text whose features are at hand at once; small, as every byte makes some 60 of them.
+_SLICE = 512 << 10
 
+_PAIRS = 2
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 32-bit finaliser, over uint32 values."""
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint32(seed * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x7FEB352D)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x846CA68B)
+        x ^= x >> np.uint32(16)
+        return x
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x % np.uint32(BUCKETS - _PAIRS)).astype(np.int32) + _PAIRS
+
+
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word index, bucket) of every feature of the words: each word whole and its n-grams, ends marked."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars = np.frombuffer(("<" + ">\n<".join(words) + ">\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if not len(words):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    chars = np.frombuffer(("<" + joined(words, ">\n<") + ">\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     breaks = chars == 10
-    owner = np.cumsum(breaks) - breaks
-    ends = np.flatnonzero(breaks)
+    owner = np.cumsum(breaks, dtype=np.int32) - breaks
+    ends = np.flatnonzero(breaks).astype(np.int32)
     indexes, buckets = [], []
-    base = np.uint64(0x100000001B3)
     rolled = chars.copy()
     with np.errstate(over="ignore"):
         for n in range(2, max(NGRAMS) + 1):
-            rolled = rolled[:-1] * base + chars[n - 1 :]
+            rolled = rolled[:-1] * np.uint32(0x01000193) + chars[n - 1 :]
             if n in NGRAMS:
-                room = ends[owner[: len(rolled)]] - np.arange(len(rolled)) >= n
+                room = ends[owner[: len(rolled)]] - np.arange(len(rolled), dtype=np.int32) >= n
                 indexes.append(owner[: len(rolled)][room])
-                buckets.append(mix(rolled[room], n))
-        # A whole word: a weighted sum of its characters by place.
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
-        place = np.arange(len(chars)) - starts[owner]
-        sums = np.add.reduceat(mix(chars + (place.astype(np.uint64) << np.uint64(32)), 1), starts)
-    indexes.append(np.arange(len(words)))
-    buckets.append(mix(sums, 99))
-    return np.concatenate(indexes), (np.concatenate(buckets) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+                buckets.append(_bucket(_mixed(rolled[room], n)))
+        # A whole word: a sum of its characters, mixed with their places.
+        starts = np.concatenate([np.zeros(1, np.int32), ends[:-1] + 1])
+        place = (np.arange(len(chars), dtype=np.int32) - starts[owner]).astype(np.uint32)
+        own = _mixed(np.add.reduceat(_mixed(chars ^ place * np.uint32(0x85EBCA6B), 1), starts, dtype=np.uint32), 2)
+    indexes.append(np.arange(len(words), dtype=np.int32))
+    buckets.append(_bucket(own))
+    return np.concatenate(indexes), np.concatenate(buckets)
 
 
-def _repeats(docs: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Words that repeat the word before them: the pair of a word with itself is one feature for all words."""
-    return np.flatnonzero((docs[1:] == docs[:-1]) & (codes[1:] == codes[:-1])) + 1
+def _pairs(docs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every pair of neighbouring words: one bucket for those of equal words, one for the others."""
+    inside = np.flatnonzero(docs[1:] == docs[:-1])
+    return docs[inside], (codes[inside] == codes[inside + 1]).astype(np.int32)
 
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,20 +71,21 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for start, stop in byte_slices(texts, _SLICE):
         docs, codes, words = words_of(texts[start:stop])
-        index, bucket = word_features(words.to_pylist())
+        index, bucket = word_features(words)
         order = np.argsort(index, kind="stable")
         index, bucket = index[order], bucket[order]
         edges = np.searchsorted(index, np.arange(len(words) + 1))
         spans = np.searchsorted(docs, np.arange(stop - start + 1))
-        again = np.bincount(docs[_repeats(docs, codes)], minlength=stop - start)
+        of, pair = _pairs(docs, codes)
+        pair_spans = np.searchsorted(of, np.arange(stop - start + 1))
         for i in range(stop - start):
             own, times = np.unique(codes[spans[i] : spans[i + 1]], return_counts=True)
             sizes = edges[own + 1] - edges[own]
             at = np.repeat(edges[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            counts = np.bincount(bucket[at], np.repeat(times, sizes), 1)
-            counts[_REPEAT] += 10 * again[i]
-            some = np.flatnonzero(counts)
-            out.append((some.astype(np.int32), counts[some].astype(np.float32)))
+            both = np.concatenate([bucket[at], pair[pair_spans[i] : pair_spans[i + 1]]])
+            some, where = np.unique(both, return_inverse=True)
+            counts = np.bincount(where, np.concatenate([np.repeat(times, sizes), np.ones(len(both) - len(at))]), len(some))
+            out.append((some.astype(np.int32), counts.astype(np.float32)))
     return out
 
 
@@ -85,12 +103,12 @@ class Model:
         for start, stop in byte_slices(texts, _SLICE):
             n = stop - start
             docs, codes, words = words_of(texts[start:stop])
-            index, bucket = word_features(words.to_pylist())
+            index, bucket = word_features(words)
             sums = np.bincount(index, self.scores[bucket], len(words))
             sizes = np.bincount(index, minlength=len(words))
-            again = 10.0 * np.bincount(docs[_repeats(docs, codes)], minlength=n)
-            total = np.bincount(docs, sums[codes], n) + again * self.scores[_REPEAT]
-            count = np.bincount(docs, sizes[codes], n) + again
+            of, pair = _pairs(docs, codes)
+            total = np.bincount(docs, sums[codes], n) + np.bincount(of, self.scores[pair], n)
+            count = np.bincount(docs, sizes[codes], n) + np.bincount(of, minlength=n)
             margins[start:stop] = np.divide(total, count, out=np.zeros(n), where=count > 0)
         return 1 / (1 + np.exp(-np.clip(margins + self.bias, -60, 60)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexward.llm import bpe, vocabulary
-from lexward.llm.common import byte_slices, plain
+from lexward.llm.common import byte_slices, joined, plain
 
 #: Bytes of text that are split and encoded together.
 BATCH_BYTES = 4 << 20
@@ -81,8 +81,7 @@ def _batch_lengths(texts: pa.Array, ranks_path: str) -> np.ndarray:
     offsets -= offsets[0]
     coded = split.flatten().dictionary_encode()
     heads = np.array([len(x) for x in encoder.encode_ordinary_batch(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist(), num_threads=1)], np.int64)
-    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())), " ")
-    ids = encoder.encode_to_numpy(" " + whole[0].as_py()) if len(coded.dictionary) else np.zeros(0, np.uint32)
+    ids = encoder.encode_to_numpy(" " + joined(coded.dictionary, " ")) if len(coded.dictionary) else np.zeros(0, np.uint32)
     token_ends = np.cumsum(vocabulary.token_sizes(ranks_path)[ids])
     part_ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     own = np.diff(np.searchsorted(token_ends, part_ends, side="right"), prepend=0)[coded.indices.to_numpy()]

@@ -50,6 +50,71 @@ def test_probability_equals_the_vectors_average():
     assert (fitted.probabilities(texts) > 0.5).tolist() == [True, False, True, False]
 
 
+def plain_margin(fitted, text):
+    """Features counted one by one, with the hash written anew."""
+    m32 = (1 << 32) - 1
+
+    def mixed(x, seed):
+        x = (x ^ (seed * 0x9E3779B1 & m32)) * 0x7FEB352D & m32
+        x ^= x >> 15
+        x = x * 0x846CA68B & m32
+        return x ^ x >> 16
+
+    def bucket(x):
+        return x % (subwords.BUCKETS - 2) + 2
+
+    words, found = text.split(), []
+    for at, word in enumerate(words):
+        marked = [ord(c) for c in f"<{word}>"]
+        for n in subwords.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                rolled = marked[i]
+                for c in marked[i + 1 : i + n]:
+                    rolled = (rolled * 0x01000193 + c) & m32
+                found.append(bucket(mixed(rolled, n)))
+        total = sum(mixed(c ^ (i * 0x85EBCA6B & m32), 1) for i, c in enumerate([*marked, 10])) & m32
+        found.append(bucket(mixed(total, 2)))
+        if at:
+            found.append(int(word == words[at - 1]))
+    return np.mean([fitted.scores[b] for b in found]) if found else 0.0
+
+
+def test_probabilities_equal_a_plain_version(model):
+    texts = ["", "one", "the the the the", "größe  and\nmore, more 数字 \U0001f600", "a b a b a b " * 40, *[t for _, t, *_ in ROWS[:2]]]
+    want = [1 / (1 + np.exp(-(plain_margin(model, t) + model.bias))) for t in texts]
+    assert np.allclose(model.probabilities(pa.array(texts)), want, atol=1e-5)
+
+
+def test_gradient_equals_a_plain_version():
+    """One epoch of the trainer against the formulas written out, over dense vectors."""
+    texts, classes = pa.array(["good words here", "bad bad stuff", "good things"]), np.array([1, 0, 1])
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(-1 / 4, 1 / 4, (subwords.BUCKETS, 4)).astype(np.float32)
+    output, bias = np.zeros((2, 4)), np.zeros(2)
+    dense = []
+    for b, c in subwords.bags(texts):
+        share = np.zeros(subwords.BUCKETS)
+        share[b] = c / c.sum()
+        dense.append(share)
+    for step, i in enumerate(rng.permutation(3)):
+        hidden = dense[i] @ vectors
+        e = np.exp(output @ hidden + bias)
+        error = e / e.sum() - np.eye(2)[classes[i]]
+        rate = 0.3 * 3 / (2 * np.bincount(classes)[classes[i]]) * (1 - step / 3)
+        grown = vectors - rate * np.sqrt(dense[i])[:, None] * (error @ output)
+        output, bias, vectors = output - rate * np.outer(error, hidden), bias - rate * error, grown
+    fitted = subwords.train(texts, classes, dim=4, epochs=1)
+    assert np.allclose(fitted.scores, vectors @ (output[1] - output[0]), atol=1e-6)
+    assert np.isclose(fitted.bias, bias[1] - bias[0])
+
+
+def test_texts_beyond_the_bound_are_left_out(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    assert quality.training_rows(docs, labels, limit_bytes=750).count() == 7
+    assert quality.training_rows(docs, labels, limit=5).count() == 5
+
+
 def test_messy(spark, model):
     rows = quality.classify(messy(spark), model).collect()
     assert len(rows) == len(ROWS)
