@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexward.llm.common import cut
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the value that least has for u. A node with very many edges is one row of least, so its
+    edges may be split among tasks; a window would keep them in one."""
+    return edges.join(least, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    up = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _with_least(up, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    met = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    met = _with_least(down, down.groupBy("u").agg(F.min("v").alias("m")))
     links = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
     return links.select("e.u", "e.v").where("u <> v").distinct()
 

@@ -11,19 +11,25 @@ from lexward.llm import simhash
 from lexward.llm.common import cut, hinted
 from lexward.llm.components import components
 
-#: Pairs are kept that share at least so many of the 16 positional bytes: all that differ in up to 14 bits do.
-MIN_SHARED = 2
+#: Pairs are kept that share at least so many of the 24 positional bytes: all that differ in up to 21 bits do.
+MIN_SHARED = 3
 
-#: Verified pairs differ in at most so many of the 128 bits over words, and of the 128 over word pairs.
-MAX_WORD_BITS = 24
+#: Verified pairs differ in at most so many of the 192 bits over words, and of the 128 over word pairs.
+MAX_WORD_BITS = 36
 MAX_PAIR_BITS = 36
 
-#: Two shared bytes are any two positions.
-_PAIRS = [(i, j) for i in range(16) for j in range(16) if i < j]
+_PLACES = range(simhash.WORD_BYTES)
 
 #: With more fingerprints than this a list is kept for each value of two bytes instead of one; the pairs are the same.
 WIDE_FROM = 1 << 28
 
+#: A list of more fingerprints is split into blocks, and every two blocks are one task.
+BLOCK_ROWS = 1 << 20
+
+#: Rows of a list that are sorted by their next bytes at once, for all pairs of positions; and rows of a run that meet pairwise.
+_SORTED_ROWS = 1 << 20
+_SHORT_RUN = 24
+
 _EDGES = "u bigint, v bigint"
 
 
@@ -41,79 +47,146 @@ def _byte(position: int):
     return F.shiftrightunsigned(f"w{position // 8}", 8 * (position % 8)).bitwiseAND(255).cast("int")
 
 
+def keys_of(wide: bool) -> list[tuple[int, ...]]:
+    """The positions whose bytes, one or two, key the lists: those after which others are left to be shared."""
+    return [(i, j) for i in _PLACES for j in _PLACES if i < j < _PLACES[-1]] if wide else [(i,) for i in _PLACES[:-2]]
+
+
 def _postings(prints: DataFrame, wide: bool) -> DataFrame:
-    if wide:
-        keys = [(_byte(i) * 256 + _byte(j)) + ((i * 16 + j) << 16) for i, j in _PAIRS]
-    else:
-        keys = [_byte(i) + (i << 8) for i in sorted({i for i, _ in _PAIRS})]
-    return prints.select(F.explode(F.array(*keys)).alias("key"), "id", *simhash.FIELDS)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node) that connect what the pairs (a, b) connect."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    more = label != np.arange(len(nodes))
-    return nodes[more], nodes[label[more]]
-
-
-def list_pairs(words: np.ndarray, i: int, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs within the list of one value of byte i, by rows of words (n x 4 of uint64).
-
-    For each later position, rows are sorted by that byte; rows at growing distances meet while
-    their bytes agree. Shared bytes are tallied over all positions, and a pair counts at its first two shared
-    positions only, so it is found once among all lists.
+    """A row for each fingerprint and list: key, the number of the list, and part, of the list's pairs of blocks one.
+
+    Sizes of lists are counted first. A list that is larger than its share, as one with a group of very many copies,
+    is cut into blocks by a hash, and each of its rows goes to all pairs with its block.
     """
-    octets = words[:, :2].copy().view(np.uint8).reshape(len(words), 16)
-    found_a, found_b = [], []
-    for j in others:
-        order = np.argsort(octets[:, j], kind="stable")
-        value, sorted_words = octets[order, j], words[order]
-        left = np.arange(len(order) - 1)
-        step = 1
+    octets = prints.select("id", *simhash.FIELDS, F.array(*[_byte(i) for i in _PLACES]).alias("octets"))
+    places = F.array(*[F.struct(F.lit(n << 16).alias("n"), F.lit(k[0]).alias("i"), F.lit(k[-1]).alias("j")) for n, k in enumerate(keys_of(wide))])
+    key = F.transform(places, lambda k: k["n"] + (F.get("octets", k["i"]) * 256 if wide else F.lit(0)) + F.get("octets", k["j"]))
+    posted = octets.select(F.explode(key).alias("key"), "id", *simhash.FIELDS)
+    large = cut(posted.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")).where("blocks > 1"))
+    n = large.count()
+    if not n:
+        return posted.withColumn("part", F.lit(0))
+    blocks, own = F.coalesce("blocks", F.lit(1)), F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    other = posted.join(hinted(large, n, 16), "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return other.select("key", "id", *simhash.FIELDS, (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("part"))
+
+
+class _Labels:
+    """Which rows are connected so far, and the edges that did it."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connect pairs of rows; edges lead from the pairs' labels to the least that they are connected with."""
+        x, y = self.of[a], self.of[b]
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
         while True:
-            left = left[: np.searchsorted(left, len(order) - step)]
-            left = left[value[left] == value[left + step]]
-            if not len(left):
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            new = new[new]
+            if (new == label).all():
                 break
-            x = sorted_words[left, :2] ^ sorted_words[left + step, :2]
-            near = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= MAX_WORD_BITS)
-            if len(near):
-                shared = x[near].view(np.uint8).reshape(len(near), 16) == 0
-                good = (shared.sum(axis=1) >= MIN_SHARED) & ~shared[:, :i].any(axis=1) & ~shared[:, i + 1 : j].any(axis=1)
-                near = near[good]
-                a, b = order[left[near]], order[left[near] + step]
-                same = simhash.distances(words[a, 2:], words[b, 2:]) <= MAX_PAIR_BITS
-                found_a.append(a[same])
-                found_b.append(b[same])
-            step += 1
+            label = new
+        moved = label != np.arange(len(nodes))
+        if moved.any():
+            self.a.append(nodes[moved])
+            self.b.append(nodes[label[moved]])
+            to = np.arange(len(self.of))
+            to[nodes] = nodes[label]
+            self.of = to[self.of]
+
+
+def _similar(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows whether it shares bytes enough and is verified."""
+    k = len(simhash.WORD_FIELDS)
+    x = words[a, :k] ^ words[b, :k]
+    near = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= MAX_WORD_BITS
+    near &= np.count_nonzero(x.view(np.uint8).reshape(len(a), simhash.WORD_BYTES) == 0, axis=1) >= MIN_SHARED
+    near[near] = simhash.distances(words[a[near], k:], words[b[near], k:]) <= MAX_PAIR_BITS
+    return near
+
+
+def _connect_run(words: np.ndarray, rows: np.ndarray, labels: _Labels) -> None:
+    """Connect what is similar among the rows, which may be very many: each row meets those it isn't connected with yet.
+
+    Rows of the largest connected set never meet each other, so a group of copies costs a comparison a row.
+    """
+    waiting = list(rows)
+    while True:
+        own = labels.of[rows]
+        kinds, counts = np.unique(own, return_counts=True)
+        if len(kinds) == 1:
+            return
+        largest = kinds[counts.argmax()]
+        while waiting and labels.of[waiting[-1]] == largest and counts.max() > 1:
+            waiting.pop()  # others meet it
+        if not waiting:
+            return
+        row = waiting.pop()
+        others = rows[own != labels.of[row]]
+        others = others[_similar(words, np.full(len(others), row), others)]
+        if len(others):
+            labels.join(np.full(len(others), row), others)
+
+
+def list_forest(words: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all similar rows of a list that share the bytes of any of the pairs of positions too.
+
+    For each pair of positions rows are sorted by their two bytes; those that agree on them share three bytes in all,
+    the least number that the index asks for, and meet. Rows that are connected already don't meet again.
+    """
+    octets = words[:, : len(simhash.WORD_FIELDS)].copy().view(np.uint8).reshape(len(words), simhash.WORD_BYTES)
+    labels, n = _Labels(len(words)), len(words)
+    step = max(1, _SORTED_ROWS // max(n, 1))
+    for at in range(0, len(pairs), step):
+        j, k = np.array(pairs[at : at + step]).T
+        keys = octets[:, j].T.astype(np.uint16) << 8 | octets[:, k].T
+        order = np.argsort(keys, axis=1, kind="stable")
+        keys = np.take_along_axis(keys, order, axis=1)
+        # Runs of equal keys, over all pairs of positions at once.
+        new = np.ones(keys.shape, bool)
+        new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(starts, append=keys.size)
+        rows = order.ravel()
+        for a in np.flatnonzero(sizes > _SHORT_RUN):
+            _connect_run(words, rows[starts[a] : starts[a] + sizes[a]], labels)
+        few = (sizes > 1) & (sizes <= _SHORT_RUN)
+        starts, sizes = starts[few], sizes[few]
+        for gap in range(1, int(sizes.max()) if len(sizes) else 0):
+            starts, sizes = starts[sizes > gap], sizes[sizes > gap]
+            left = np.repeat(starts - np.cumsum(sizes - gap) + sizes - gap, sizes - gap) + np.arange((sizes - gap).sum())
+            x, y = rows[left], rows[left + gap]
+            apart = labels.of[x] != labels.of[y]
+            x, y = x[apart], y[apart]
+            same = _similar(words, x, y)
+            if same.any():
+                labels.join(x[same], y[same])
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *found_a]), np.concatenate([empty, *found_b])
+    return np.concatenate([empty, *labels.a]), np.concatenate([empty, *labels.b])
+
+
+def list_positions(key: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The pairs of positions that rows of a list are sorted by: with the list's own, three different ones."""
+    return [(key[1], k) for k in _PLACES if k > key[1]] if len(key) > 1 else [(j, k) for j in _PLACES for k in _PLACES if key[0] < j < k]
 
 
 def _list_edges(wide: bool):
     def run(posted: pa.Table) -> pa.Table:
-        key = posted.column("key")[0].as_py()
-        i, others = key >> 8, [j for p, j in _PAIRS if p == key >> 8]
-        if wide:
-            i, others = key >> 20, [key >> 16 & 15]
+        pairs = list_positions(keys_of(wide)[posted.column("key")[0].as_py() >> 16])
         ids = posted.column("id").to_numpy()
         words = np.stack([posted.column(f).to_numpy() for f in simhash.FIELDS], axis=1).view(np.uint64)
-        a, b = list_pairs(words, i, others)
-        u, v = _forest(ids[a], ids[b]) if len(a) else (ids[:0], ids[:0])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        a, b = list_forest(words, pairs)
+        return pa.table({"u": pa.array(ids[a], pa.int64()), "v": pa.array(ids[b], pa.int64())})
 
     return run
 
@@ -122,27 +195,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, keep_doc_id) for every document of a group of near-duplicates but the one of least id, which stays.
 
     Groups are connected by pairs whose fingerprints share MIN_SHARED positional bytes and differ in few bits.
-    Equal fingerprints are one entry of the index. Lists hand on a spanning forest of their verified pairs, so
-    that what leaves them grows with the documents and not with the pairs.
+    Equal fingerprints are one entry of the index. Lists hand on a forest that connects what their verified pairs
+    do, so that what leaves them grows with the documents and not with the pairs.
 
     A null text, and one without a word (empty, punctuation only), is like no other. Rows with a null id are
-    left alone. Rows that share an id are one document. Texts of any length count whole. An empty table gives
-    no rows. Other columns are not read.
+    left alone. Rows that share an id are one document; ids must be numbers. Texts of any length count whole. An
+    empty table gives no rows. Other columns are not read.
     """
     column = docs[f"`{text}`"]
     prints = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), column.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    prints = prints.select("id", fingerprint_column(F.col("text")).alias("f")).where("f IS NOT NULL").select("id", "f.*")
-    grouped = cut(prints.groupBy(*simhash.FIELDS).agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")))
+    prints = cut(prints.select("id", fingerprint_column(F.col("text")).alias("f")).where("f IS NOT NULL").select("id", "f.*"))
+    grouped = cut(prints.groupBy(*simhash.FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     wide = grouped.count() > WIDE_FROM
-    edges = _postings(grouped, wide).groupBy("key").applyInArrow(_list_edges(wide), _EDGES)
-    # Two fingerprints under one id are one node, and an id may be listed under several.
-    alike = grouped.where(F.size("ids") > 1).select(F.explode("ids").alias("u"), F.col("id").alias("v"))
+    edges = _postings(grouped, wide).groupBy("key", "part").applyInArrow(_list_edges(wide), _EDGES)
+    # Two fingerprints under one id are one node, and an id may be listed under several. Of a fingerprint that very many
+    # documents have only the one row of grouped is sent to them.
+    several = grouped.where("n > 1").select(*simhash.FIELDS, F.col("id").alias("v"))
+    alike = prints.join(hinted(several, several.count(), 80), [*simhash.FIELDS]).select(F.col("id").alias("u"), "v")
     roots, _ = components(edges.unionAll(alike))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one of least id. Columns stay as they are."""
+    """docs with one document of each group of near-duplicates: the one of least id. Columns stay as they are.
+
+    Rows with a null id, a null text or one without a word all stay, as do all rows of an id that stays. Texts of any
+    length count whole, columns of any name pass through, and an empty table gives no rows.
+    """
     gone = cut(near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("gone_")))
     side = hinted(gone, gone.count(), 40)
     return docs.join(side, docs[f"`{doc_id}`"] == side["gone_"], "left_anti")

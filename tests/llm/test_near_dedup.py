@@ -12,7 +12,7 @@ from lexward.llm.components import components
 
 def prints(texts):
     a = simhash.fingerprints(pa.array(texts, pa.string()))
-    words = np.stack([a.field(i).to_numpy(zero_copy_only=False) for i in range(4)], 1).astype(np.int64).view(np.uint64)
+    words = np.stack([a.field(i).to_numpy(zero_copy_only=False) for i in range(5)], 1).astype(np.int64).view(np.uint64)
     return words, a.is_valid().to_numpy(zero_copy_only=False)
 
 
@@ -35,9 +35,9 @@ def brute(ids, texts):
     words, known = prints(texts)
     pairs = []
     for i in range(len(texts)):
-        x = words[i, :2] ^ words[:, :2]
-        shared = (x.copy().view(np.uint8).reshape(len(words), 16) == 0).sum(1)
-        near = (shared >= N.MIN_SHARED) & (np.bitwise_count(x).sum(1, dtype=int) <= N.MAX_WORD_BITS) & (simhash.distances(words[i, 2:][None], words[:, 2:]) <= N.MAX_PAIR_BITS)
+        x = words[i, :3] ^ words[:, :3]
+        shared = (x.copy().view(np.uint8).reshape(len(words), 24) == 0).sum(1)
+        near = (shared >= N.MIN_SHARED) & (np.bitwise_count(x).sum(1, dtype=int) <= N.MAX_WORD_BITS) & (simhash.distances(words[i, 3:][None], words[:, 3:]) <= N.MAX_PAIR_BITS)
         pairs += [(i, j) for j in np.flatnonzero(near & known) if j > i and known[i]]
     order = np.argsort(ids)
     place = {int(p): k for k, p in enumerate(order)}
@@ -76,34 +76,80 @@ def test_index_equals_all_pairs(spark):
 
 
 def all_pairs(words):
-    """Verified pairs among all, and those that the index finds."""
-    verified, found = set(), set()
+    """Verified pairs among all, without any condition of the index."""
+    out = []
     for i in range(len(words)):
-        near = (simhash.distances(words[i, :2][None], words[i + 1 :, :2]) <= N.MAX_WORD_BITS) & (simhash.distances(words[i, 2:][None], words[i + 1 :, 2:]) <= N.MAX_PAIR_BITS)
-        verified |= {(i, i + 1 + int(j)) for j in np.flatnonzero(near)}
-    octets = words[:, :2].copy().view(np.uint8).reshape(len(words), 16)
-    for i in sorted({i for i, _ in N._PAIRS}):
-        for value in np.unique(octets[:, i]):
-            rows = np.flatnonzero(octets[:, i] == value)
-            a, b = N.list_pairs(words[rows], i, [j for p, j in N._PAIRS if p == i])
-            found |= {tuple(sorted((int(rows[x]), int(rows[y])))) for x, y in zip(a, b)}
-    return verified, found
+        near = (simhash.distances(words[i, :3][None], words[i + 1 :, :3]) <= N.MAX_WORD_BITS) & (simhash.distances(words[i, 3:][None], words[i + 1 :, 3:]) <= N.MAX_PAIR_BITS)
+        out += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
+    return out
+
+
+def indexed(words, wide=False):
+    """Edges of all lists of the index."""
+    octets = words[:, :3].copy().view(np.uint8).reshape(len(words), 24)
+    out = []
+    for key in N.keys_of(wide):
+        of = [tuple(r) for r in octets[:, list(key)]]
+        for value in sorted(set(of)):
+            rows = np.array([i for i, v in enumerate(of) if v == value])
+            a, b = N.list_forest(words[rows], N.list_positions(key))
+            out += [(int(x), int(y)) for x, y in zip(rows[a], rows[b])]
+    return out
 
 
 @pytest.mark.parametrize(("low", "high"), [(8, 20), (20, 60), (60, 200), (200, 600)])
 def test_recall_against_all_pairs(low, high):
+    """Of the verified pairs among all, those that the index connects; by length of text."""
     rng = random.Random(9)
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
     bases = [" ".join(rng.choices(vocabulary, k=rng.randrange(low, high))) for _ in range(400)]
     words, _ = prints([t for b in bases for t in (b, edited(b, rng, 0.06), edited(b, rng, 0.12))])
-    verified, found = all_pairs(words)
-    assert found <= verified and len(found) >= 0.97 * len(verified) > 0
-
-
-def test_wide_lists_give_the_same(spark, monkeypatch):
+    verified = all_pairs(words)
+    roots = roots_of(len(words), indexed(words))
+    joined = [roots[a] == roots[b] for a, b in verified]
+    assert roots_of(len(words), verified) == roots_of(len(words), verified + list(enumerate(roots)))  # nothing else is connected
+    assert np.mean(joined) >= 0.97
+    shared = [(words[a, :3] ^ words[b, :3]).view(np.uint8).tolist().count(0) for a, b in verified]
+    print(low, high, "pairs that share bytes enough", np.mean(np.array(shared) >= N.MIN_SHARED), "connected", np.mean(joined))
+    assert np.mean(np.array(shared) >= N.MIN_SHARED) >= 0.9
+
+
+def test_few_differing_bits_are_always_found():
+    """Up to 21 bits leave three bytes untouched, whichever they are."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        words = rng.integers(0, 1 << 63, (2, 5)).astype(np.uint64)
+        words[1] = words[0]
+        octets = words[1:, :3].view(np.uint8)
+        for bit in rng.choice(192, 21, replace=False):
+            octets[0, bit // 8] ^= np.uint8(1 << bit % 8)
+        assert indexed(words)
+
+
+def test_long_runs_equal_pairs(monkeypatch):
+    """Rows of a hot group meet only what they aren't connected with; the outcome is that of all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (6, 5)).astype(np.uint64)
+    words = np.repeat(base, 60, axis=0)
+    octets = words.view(np.uint8)
+    for row in octets:
+        for bit in rng.choice(np.arange(64, 192), rng.integers(0, 34), replace=False):
+            row[bit // 8] ^= np.uint8(1 << bit % 8)
+    pairs = N.list_positions((0,))
+    outcomes = []
+    for short in (1, 3, 10_000):
+        monkeypatch.setattr(N, "_SHORT_RUN", short)
+        outcomes.append(roots_of(len(words), list(zip(*map(np.ndarray.tolist, N.list_forest(words, pairs))))))
+    assert outcomes[0] == outcomes[1] == outcomes[2]
+    assert len(set(outcomes[0])) < 60
+
+
+def test_wide_lists_and_blocks_give_the_same(spark, monkeypatch):
     ids, texts = corpus(30)
     docs = messy(spark, [(i, t, "en", "web") for i, t in zip(ids, texts)])
     narrow = {tuple(r) for r in N.near_duplicates(docs).collect()}
+    monkeypatch.setattr(N, "BLOCK_ROWS", 3)
+    assert {tuple(r) for r in N.near_duplicates(docs).collect()} == narrow
     monkeypatch.setattr(N, "WIDE_FROM", 0)
     assert {tuple(r) for r in N.near_duplicates(docs).collect()} == narrow
 
