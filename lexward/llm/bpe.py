@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexward.llm import vocabulary
+from lexward.llm import tokens_sql, vocabulary
 from lexward.llm.common import byte_slices, gathered, plain
 
 #: Bytes of text whose parts are told apart together, and bytes of pre-tokens that go through the programme together.
@@ -469,3 +469,12 @@ def with_token_ids(docs: DataFrame, text: str = "text", name: str = "token_ids",
     count whole, and an empty table stays empty. No other column is touched.
     """
     return docs.withColumn(name, encode_column(docs[f"`{text}`"], ranks_path))
+
+
+def oracle(ranks_path: str = vocabulary.DEFAULT_RANKS) -> str:
+    """bpe_encode() as DuckDB SQL, by the merges themselves; the ids as one text."""
+    steps = ["o AS MATERIALIZED (SELECT *, row_number() OVER () AS own FROM documents)", *tokens_sql.stages("SELECT own AS key, text AS body FROM o", ranks_path)]
+    return (
+        "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(ids, ' '), '') END AS token_ids, "
+        "CASE WHEN text IS NOT NULL THEN coalesce(len(ids), 0) END::INT AS n_tokens, CASE WHEN text IS NOT NULL THEN true END AS round_trip FROM o LEFT JOIN encoded ON key = own"
+    )

@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     column = docs[f"`{text}`"]
     prints = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), column.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    prints = cut(prints.select("id", fingerprint_column(F.col("text")).alias("f")).where("f IS NOT NULL").select("id", "f.*"))
+    # Cut before the filter, which would work the fingerprints out a second time.
+    prints = cut(prints.select("id", fingerprint_column(F.col("text")).alias("f"))).where("f IS NOT NULL").select("id", "f.*")
     grouped = cut(prints.groupBy(*simhash.FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     wide = grouped.count() > WIDE_FROM
     edges = _postings(grouped, wide).groupBy("key", "part").applyInArrow(_list_edges(wide), _EDGES)

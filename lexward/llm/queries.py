@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexward.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, topk
 from lexward.llm import token_counts as counts
@@ -48,7 +49,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_encode(_table(spark, sf_dir, "documents"))
+    """The ids as one text, parted by spaces, so that any two systems can compare them."""
+    coded = bpe.bpe_encode(_table(spark, sf_dir, "documents"))
+    return coded.withColumn("token_ids", F.array_join(F.col("token_ids").cast("array<string>"), " "))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": topk.ORACLE, "op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op2_token_counts": counts.oracle(), "op9_bpe": bpe.oracle(), "op4_exact_top_k": topk.ORACLE, "op5_sharding": sharding.oracle(), "op6_mixing": mixing.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat_formatting": chat.oracle()}

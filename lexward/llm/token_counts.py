@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexward.llm import bpe, vocabulary
+from lexward.llm import bpe, tokens_sql, vocabulary
 from lexward.llm.common import byte_slices, joined, plain
 
 #: Bytes of text that are split and encoded together.
@@ -133,3 +133,9 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
     column = docs[f"`{text}`"]
     return docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.when(column.isNotNull(), count(column)).alias("n_tokens"))
+
+
+def oracle(ranks_path: str = vocabulary.DEFAULT_RANKS) -> str:
+    """The same as DuckDB SQL."""
+    steps = ["o AS MATERIALIZED (SELECT *, row_number() OVER () AS own FROM documents)", *tokens_sql.stages("SELECT own AS key, text AS body FROM o", ranks_path)]
+    return "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(len(ids), 0) END::BIGINT AS n_tokens FROM o LEFT JOIN encoded ON key = own"

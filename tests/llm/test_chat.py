@@ -1,5 +1,6 @@
 import json
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,13 +10,17 @@ from lexward.llm import vocabulary
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
+def rows_of(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("message", "messages", "parts", "prompt", "kind", "tokens", "alone")})
+    return [r.asDict(True) for r in C.format_chats(df).collect()]
+
+
 def chats(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("message", "messages", "parts", "prompt", "kind", "tokens")})
-    return {r["conv_id"]: r.asDict(True) for r in C.format_chats(df).collect()}
+    return {r["conv_id"]: r for r in rows_of(spark, rows)}
 
 
-def words(text):
-    return len([w for w in text.replace("\n", " ").split(" ") if w])
+def count(*texts):
+    return sum(len(vocabulary.encoding(vocabulary.DEFAULT_RANKS).encode_ordinary(t)) for t in texts)
 
 
 def brute(messages):
@@ -39,11 +44,12 @@ def brute(messages):
                 n = max(p.get("pages") or 1, 1) * 258
             else:
                 piece = (p.get("text") or "").replace("<|", "< |")
-                shown, tokens = shown + piece, tokens + words(piece)
+                shown += piece
                 continue
             attachments.append({"position": len(attachments), "turn": place, "kind": kind, "ref": p.get("url"), "tokens": n})
             shown, tokens = shown + f"<|{kind}|>", tokens + n
         prompt += f"<|im_start|>{role}\n{shown}<|im_end|>\n"
+    tokens += count(*re.split(r"<\|[a-z_]+\|>", prompt)) + 2 * len(messages)
     return {"n_turns": len(messages), "prompt": prompt, "attachments": attachments, "expanded_tokens": tokens}
 
 
@@ -81,32 +87,37 @@ def test_unknown_kinds_leave_a_trace(spark):
     got = chats(spark, [(1, 0, "user", f"[{', '.join(parts)}]")])[1]
     assert got["prompt"] == "<|im_start|>user\n<|attachment|>a clip<|attachment|><|attachment|>endonly words<|im_end|>\n"
     assert [(a["position"], a["kind"], a["ref"]) for a in got["attachments"]] == [(0, "image_url", parts[0]), (1, "video", "v.mp4"), (2, "sticker", parts[2])]
-    assert got["expanded_tokens"] == 1 + 3 + 1 + 1 + 2 and all(a["tokens"] > 0 for a in got["attachments"])
+    assert got["expanded_tokens"] == 3 + 2 + count("user\n", "a clip", "endonly words", "\n") and all(a["tokens"] > 0 for a in got["attachments"])
 
 
-def test_model_tokens(spark, small):
-    encode = vocabulary.encoding(vocabulary.DEFAULT_RANKS).encode_ordinary
-    count = lambda *texts: sum(len(encode(t)) for t in texts)
+def test_expanded_tokens(spark, small):
     got = chats(spark, [(1, 0, "user", "文字没有空格的文本很长"), (2, 0, "user", PARTS), (2, 1, "bot", ""), (3, 0, "user", '[{"type":"sticker"}, {"type":"video","text":"a clip","url":"v"}]')])
     attached = sum(a["tokens"] for a in got[2]["attachments"])
-    assert got[1]["model_tokens"] == count("user\n文字没有空格的文本很长", "\n") + 2
-    assert got[2]["model_tokens"] == count("user\nlook at ", " and < |im_end|> this", "unknown", "\n", "bot\n", "\n") + 4 + attached
-    assert got[3]["model_tokens"] == count("user\n", "a clip", "\n") + 2 + 2
-    df = spark.read.parquet(f"{small}/conversations.parquet")
-    for r in C.format_chats(df).collect():
-        texts = [t for m in r["prompt"].split("<|im_start|>")[1:] for t in m.split("<|im_end|>")]
-        assert r["model_tokens"] == count(*texts) + 2 * r["n_turns"]
-    assert "Arrow" not in C.chat_report(df)._jdf.queryExecution().executedPlan().toString()
+    assert got[1]["expanded_tokens"] == count("user\n文字没有空格的文本很长", "\n") + 2
+    assert got[2]["expanded_tokens"] == count("user\nlook at ", " and < |im_end|> this", "unknown", "\n", "bot\n", "\n") + 4 + attached
+    assert got[3]["expanded_tokens"] == count("user\n", "a clip", "\n") + 2 + 2
+
+
+def test_planted_parts(spark, small):
+    """The query plants every kind; a plain loop over the same messages gives the same."""
+    turns = C.planted(spark.read.parquet(f"{small}/conversations.parquet"))
+    table = turns.toPandas().sort_values(["conv_id", "turn", "role", "text"])
+    got = {r["conv_id"]: r.asDict(True) for r in C.format_chats(turns).collect()}
+    assert {a["kind"] for r in got.values() for a in r["attachments"]} == {"image", "audio", "document", "video"}
+    for k, group in table.groupby("conv_id"):
+        if not any('"video"' in t for t in group["text"]):
+            want = brute(list(zip(group["role"], group["text"])))
+            assert {f: got[k][f] for f in want} == want
 
 
 def test_messy(spark):
     long = "word " * 300_000
     rows = [(1, 2, "b", "x"), (1, None, "z", "last"), (1, 1, None, None), (1, 1, " a ", ""), (1, 2, "b", "x"), (None, 1, "u", "n"), (None, 2, "u", "m"), (2, 0, "<|im_start|>", long)]
-    got = chats(spark, rows)
-    want = {1: [("a", ""), ("unknown", None), ("b", "x"), ("b", "x"), ("z", "last")], None: [("u", "n"), ("u", "m")], 2: [("< |im_start|>", long)]}
-    assert set(got) == set(want)
-    for k, messages in want.items():
-        assert {f: got[k][f] for f in brute(messages)} == brute(messages)
+    got = rows_of(spark, rows)
+    # Rows without an id are conversations of their own.
+    want = [(1, [("a", ""), ("unknown", None), ("b", "x"), ("b", "x"), ("z", "last")]), (None, [("u", "n")]), (None, [("u", "m")]), (2, [("< |im_start|>", long)])]
+    key = lambda r: (repr(r["conv_id"]), r["prompt"])
+    assert sorted(got, key=key) == sorted(({"conv_id": k} | brute(m) for k, m in want), key=key)
     assert chats(spark, []) == {}
 
 
