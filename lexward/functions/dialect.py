@@ -8,7 +8,10 @@ faithfully is refused.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import sys
+from dataclasses import dataclass, replace
 
 
 class DialectError(ValueError):
@@ -25,7 +28,15 @@ _POSIX = {
     "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\\x00-\\x7F", "blank": "\\t\\x20", "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~",
     "lower": "a-z", "print": "\\x20-~", "punct": "!-/:-@\\[-`{-~", "space": "\\t\\n\\x0B\\f\\r\\x20", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
-_MOST_FOLDED = 3000
+
+#: Groups within groups, as the dialect's own engine has it; and a repetition's bounds, as Java's has them. The former engine
+#: refuses patterns by what they compile to instead, so longer repetitions are accepted here than there.
+_DEEPEST = 250
+_MOST_TIMES = 2**31 - 1
+
+#: Texts that a gate looks for, at most, and a gate text's characters; more are of no use.
+_MOST_TEXTS = 32
+_LONGEST_TEXT = 64
 
 
 @functools.cache
@@ -44,10 +55,87 @@ def _others(c: str) -> tuple[str, ...]:
     return _folds().get(c, ())
 
 
+@functools.cache
+def _cased() -> list[str]:
+    """Characters that have others in their fold, in order: some 2,800."""
+    return sorted(_folds())
+
+
 def _quoted(c: str) -> str:
     return c if c.isascii() and c.isalnum() or c == "_" else f"\\x{{{ord(c):X}}}"
 
 
+def fold(c: str) -> str | None:
+    """A character as lines are folded for the gates: in lower case; None if there is no telling."""
+    if c in "ſK":
+        return "s" if c == "ſ" else "k"
+    if c.isascii():
+        return c.lower()
+    return c if c.lower() == c == c.upper() and c not in _folds() else None
+
+
+@dataclass(frozen=True)
+class _Node:
+    """A piece of a pattern: Java's spelling, and what is known of every text that it matches, folded.
+
+    exact: the one text that it matches; else head and tail: how each begins and ends; need: texts of which each holds one.
+    """
+
+    java: str
+    exact: str | None = None
+    head: str = ""
+    tail: str = ""
+    need: frozenset[str] = frozenset()
+
+    def needed(self) -> frozenset[str]:
+        """The texts to look for; none where nothing is known."""
+        if self.exact is not None:
+            return frozenset({self.exact}) if self.exact else frozenset()
+        return _better(self.need, *(frozenset({t}) for t in (self.head, self.tail) if t))
+
+
+def _better(*options: frozenset[str]) -> frozenset[str]:
+    """Of sets of texts the one that tells most: long texts, and few."""
+    known = [o for o in options if o and len(o) <= _MOST_TEXTS]
+    return max(known, key=lambda o: (min(map(len, o)), -len(o), sorted(o)), default=frozenset())
+
+
+def _sequence(nodes: list[_Node]) -> _Node:
+    java = "".join(n.java for n in nodes)
+    if all(n.exact is not None for n in nodes):
+        exact = "".join(n.exact for n in nodes)
+        if len(exact) <= _LONGEST_TEXT:
+            return _Node(java, exact)
+    options, run, head = [], "", None
+    for n in nodes:
+        if n.exact is not None:
+            run += n.exact
+            continue
+        options += [frozenset({run + n.head}) if run + n.head else frozenset(), n.need]
+        head = run + n.head if head is None else head
+        run = n.tail
+    options.append(frozenset({run}) if run else frozenset())
+    return _Node(java, None, (run if head is None else head)[:_LONGEST_TEXT], run[-_LONGEST_TEXT:], _better(*options))
+
+
+def _either(branches: list[_Node]) -> _Node:
+    if len(branches) == 1:
+        return branches[0]
+    java = "|".join(b.java for b in branches)
+    needs = [b.needed() for b in branches]
+    return _Node(java, None, "", "", _better(frozenset().union(*needs)) if all(needs) else frozenset())
+
+
+def _times(node: _Node, java: str, low: int, high: int | None) -> _Node:
+    """node from low to high times."""
+    if low == high and node.exact is not None and len(node.exact) * low <= _LONGEST_TEXT:
+        return _Node(java, node.exact * low)
+    if low == 0:
+        return _Node(java)
+    edge = node.exact if node.exact is not None else ""
+    return _Node(java, None, edge or node.head, edge or node.tail, node.needed())
+
+
 class _Parser:
     def __init__(self, text: str, fold: bool):
         self.text, self.at, self.fold, self.names = text, 0, fold, set()
@@ -65,42 +153,46 @@ class _Parser:
         self.at += n
         return out
 
-    def alternation(self, depth: int = 0) -> str:
-        if depth > 100:
+    def alternation(self, depth: int = 0) -> _Node:
+        if depth > _DEEPEST:
             self.fail("groups are nested too deep")
-        fold, out = self.fold, []
+        fold, branches, nodes = self.fold, [], []
         while self.at < len(self.text) and self.peek() != ")":
             if self.peek() == "|":
-                out.append(self.take())
+                self.take()
+                branches.append(_sequence(nodes))
+                nodes = []
                 continue
-            out.append(self.repeated(depth))
+            nodes.append(self.repeated(depth))
         self.fold = fold  # a flag set inside lasts to the end of its group
-        return "".join(out)
+        return _either([*branches, _sequence(nodes)])
 
-    def repeated(self, depth: int) -> str:
+    def repeated(self, depth: int) -> _Node:
         atom, can = self.atom(depth)
         times = 0
         while self.peek() and (self.peek() in "*+?" or self.peek() == "{"):
             if not can:
                 self.fail("nothing to repeat")
             mark = self.take()
+            least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(mark, (0, 0))
             if mark == "{":
                 body = self.text[self.at :].split("}", 1)
                 low, comma, high = body[0].partition(",")
                 low, high = low.strip(), high.strip()
                 if len(body) < 2 or not low.isascii() or not low.isdigit() or (high and not (high.isascii() and high.isdigit())):
                     self.fail("a repetition isn't well formed")
-                if high and int(high) < int(low) or max(int(low), int(high or 0)) > 1000:
+                if high and int(high) < int(low) or max(int(low), int(high or 0)) > _MOST_TIMES:
                     self.fail("a repetition's bounds are out of range")
                 self.at += len(body[0]) + 1
                 mark = "{" + low + comma + high + "}"
+                least, most = int(low), int(high) if high else None if comma else int(low)
             lazy = self.take() if self.peek() == "?" else ""
             # A second mark repeats the repetition; Java would read it as possessive.
-            atom = (f"(?:{atom})" if times else atom) + mark + lazy
+            atom = _times(atom, (f"(?:{atom.java})" if times else atom.java) + mark + lazy, least, most)
             times += 1
         return atom
 
-    def atom(self, depth: int) -> tuple[str, bool]:
+    def atom(self, depth: int) -> tuple[_Node, bool]:
         c = self.take()
         if c == "(":
             return self.group(depth)
@@ -109,11 +201,11 @@ class _Parser:
         if c == "\\":
             return self.escape()
         if c == "^":
-            return "^", True
+            return _Node("^", ""), True
         if c == "$":
-            return "\\z", True
+            return _Node("\\z", ""), True
         if c == ".":
-            return ".", True
+            return _Node("."), True
         if c in "*+?":
             self.at -= 1
             self.fail("nothing to repeat")
@@ -121,11 +213,11 @@ class _Parser:
             self.fail("nothing to repeat")
         return self.literal(c), True
 
-    def literal(self, c: str) -> str:
+    def literal(self, c: str) -> _Node:
         others = _others(c) if self.fold else ()
-        return "[" + "".join(map(_quoted, (c, *others))) + "]" if others else _quoted(c)
+        return _Node("[" + "".join(map(_quoted, (c, *others))) + "]" if others else _quoted(c), fold(c))
 
-    def group(self, depth: int) -> tuple[str, bool]:
+    def group(self, depth: int) -> tuple[_Node, bool]:
         start, before = "(", self.fold
         if self.peek() == "?":
             self.take()
@@ -152,14 +244,14 @@ class _Parser:
                 self.fold = flags.pop("i", self.fold)
                 rest = "".join(k for k, v in flags.items() if v) + ("-" + "".join(k for k, v in flags.items() if not v) if not all(flags.values()) else "")
                 if c == ")":
-                    return (f"(?{rest})" if rest else "", False)
+                    return _Node(f"(?{rest})" if rest else "", ""), False
                 start = f"(?{rest}:"
         inside = self.alternation(depth + 1)
         if self.peek() != ")":
             self.fail("a group isn't closed")
         self.take()
         self.fold = before
-        return start + inside + ")", True
+        return replace(inside, java=start + inside.java + ")"), True
 
     def code(self) -> int:
         """The rest of \\x, \\u or \\U."""
@@ -193,20 +285,20 @@ class _Parser:
             self.fail("a property of case can't be folded")
         return ("\\P{" if negated else "\\p{") + name + "}"
 
-    def escape(self) -> tuple[str, bool]:
+    def escape(self) -> tuple[_Node, bool]:
         c = self.take()
         if c in _PERL:
-            return "\\" + c, True
+            return _Node("\\" + c), True
         if c in "bB":
             if self.peek() == "{":
                 self.fail("this boundary isn't supported")
-            return "\\" + c, True
+            return _Node("\\" + c, ""), True
         if c == "A":
-            return "\\A", True
+            return _Node("\\A", ""), True
         if c == "z":
-            return "\\z", True
+            return _Node("\\z", ""), True
         if c in "pP":
-            return self.property(c == "P"), True
+            return _Node(self.property(c == "P")), True
         return self.literal(self.escaped(c)), True
 
     def escaped(self, c: str) -> str:
@@ -218,11 +310,11 @@ class _Parser:
             return c
         self.fail("this escape isn't supported")
 
-    def bracket(self) -> str:
+    def bracket(self) -> _Node:
         negated = self.peek() == "^"
         if negated:
             self.take()
-        out, first = [], True
+        out, first, texts = [], True, set()
         while True:
             if not self.peek():
                 self.fail("a class isn't closed")
@@ -231,11 +323,17 @@ class _Parser:
                 break
             if self.peek(2) in ("&&", "--", "~~"):
                 self.fail("operations on classes aren't supported")
-            out.append(self.item())
+            java, one = self.item()
+            out.append(java)
+            texts.add(fold(one) if one else None)
             first = False
-        return "[" + ("^" if negated else "") + "".join(out) + "]"
+        java = "[" + ("^" if negated else "") + "".join(out) + "]"
+        if negated or None in texts or len(texts) > _MOST_TEXTS:
+            return _Node(java)
+        return _Node(java, *texts) if len(texts) == 1 else _Node(java, None, "", "", frozenset(texts))
 
-    def item(self) -> str:
+    def item(self) -> tuple[str, str | None]:
+        """Java's spelling of an item of a class; and its character, where it is but one."""
         c = self.take()
         if c == "[":
             if self.peek() != ":":
@@ -248,14 +346,14 @@ class _Parser:
             if negated:
                 self.fail("a negated named class isn't supported")
             if self.fold and name in ("lower", "upper", "alpha", "alnum", "word"):
-                return _POSIX[name].replace("a-z", "").replace("A-Z", "") + "A-Za-z\\x{17F}\\x{212A}"
-            return _POSIX[name]
+                return _POSIX[name].replace("a-z", "").replace("A-Z", "") + "A-Za-z\\x{17F}\\x{212A}", None
+            return _POSIX[name], None
         if c == "\\":
             e = self.take()
             if e in _PERL:
-                return "\\" + e
+                return "\\" + e, None
             if e in "pP":
-                return self.property(e == "P")
+                return self.property(e == "P"), None
             low = self.escaped(e)
         else:
             low = c
@@ -271,28 +369,42 @@ class _Parser:
                 c = self.escaped(e)
             if c < low:
                 self.fail("a range runs backwards")
-            return self.range(low, c)
+            return self.range(low, c), None
         others = _others(low) if self.fold else ()
-        return "".join(map(_quoted, (low, *others)))
+        return "".join(map(_quoted, (low, *others))), low
 
     def range(self, low: str, high: str) -> str:
         out = f"{_quoted(low)}-{_quoted(high)}"
         if self.fold:
-            if ord(high) - ord(low) > _MOST_FOLDED:
-                self.fail("a range is too long to be folded")
-            more = sorted({x for i in range(ord(low), ord(high) + 1) for x in _others(chr(i)) if not low <= x <= high})
-            out += "".join(map(_quoted, more))
+            cased = _cased()
+            inside = cased[bisect.bisect_left(cased, low) : bisect.bisect_right(cased, high)]
+            out += "".join(map(_quoted, sorted({x for c in inside for x in _others(c) if not low <= x <= high})))
         return out
 
 
 @functools.cache
-def to_java(pattern: str, case_sensitive: bool = False) -> str:
-    """The pattern for java.util.regex with the same matches, or DialectError."""
+def parsed(pattern: str, case_sensitive: bool = False) -> _Node:
+    """The pattern for java.util.regex with the same matches, and what they hold; or DialectError."""
     parser = _Parser(pattern, not case_sensitive)
-    out = parser.alternation()
+    before = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(before + 8 * _DEEPEST)  # groups within groups
+        out = parser.alternation()
+    finally:
+        sys.setrecursionlimit(before)
     if parser.at < len(pattern):
         parser.fail("a group isn't open")
-    return FLAGS + out
+    return out
+
+
+def to_java(pattern: str, case_sensitive: bool = False) -> str:
+    return FLAGS + parsed(pattern, case_sensitive).java
+
+
+def gate_texts(pattern: str, case_sensitive: bool = False) -> tuple[str, ...]:
+    """Texts of which any match holds at least one, folded as by fold(); () where none is known, or any line may hold it."""
+    need = parsed(pattern, case_sensitive).needed()
+    return tuple(sorted(need)) if all(len(t) > 1 or not t.isascii() for t in need) else ()
 
 
 def expand_phrase(phrase: str) -> str:

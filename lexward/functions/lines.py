@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The keyword that opens a directive in a scanned document.
-KEYWORD = "-".join(("injection", "scanner"))
+#: The keyword that opens a directive in a scanned document, as in "lexward:ignore PI001". Every function that reads
+#: directives takes another one as a parameter, for documents that were written for another scanner.
+KEYWORD = "lexward"
 
 KINDS = ("ignore-next-line", "ignore-file", "ignore")
 
 _ID = "[A-Za-z][A-Za-z0-9_-]*"
 
-#: Kind and list of ids; white space is Unicode's. The list never has to be given back, so it is possessive: any
-#: number of ids is matched in a loop, without the engine's stack.
-DIRECTIVE = rf"(?U){KEYWORD}:({'|'.join(KINDS)})\s+({_ID}(?:\s*,\s*{_ID})*+)"
+
+def directive_pattern(keyword: str = KEYWORD) -> str:
+    """Kind and list of ids; white space is Unicode's. The list never has to be given back, so it is possessive: any
+    number of ids is matched in a loop, without the engine's stack."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", keyword):
+        raise ValueError("a directive's keyword is made of letters, digits, '-' and '_'")
+    return rf"(?U){keyword}:({'|'.join(KINDS)})\s+({_ID}(?:\s*,\s*{_ID})*+)"
+
 
 #: Lines from the top in which ignore-file counts.
 HEADER_LINES = 10
@@ -43,9 +51,10 @@ def ids_of(listed: Column) -> Column:
     return F.split(listed, r"(?U)\s*,\s*")
 
 
-def line_directives(line: Column) -> Column:
+def line_directives(line: Column, keyword: str = KEYWORD) -> Column:
     """Array of struct(kind, pattern_id) of a line, in order."""
-    found = F.arrays_zip(F.regexp_extract_all(line, F.lit(DIRECTIVE), 1).alias("kind"), F.regexp_extract_all(line, F.lit(DIRECTIVE), 2).alias("ids"))
+    pattern = F.lit(directive_pattern(keyword))
+    found = F.arrays_zip(F.regexp_extract_all(line, pattern, 1).alias("kind"), F.regexp_extract_all(line, pattern, 2).alias("ids"))
     each = F.transform(found, lambda d: F.transform(ids_of(d["ids"]), lambda i: F.struct(d["kind"].alias("kind"), i.alias("pattern_id"))))
     return F.flatten(each)
 
@@ -55,15 +64,20 @@ def none() -> Column:
     return F.array().cast("array<struct<line:int,kind:string,pattern_id:string>>")
 
 
-def document_directives(content: Column) -> Column:
+def may_hold(text: Column, keyword: str = KEYWORD) -> Column:
+    """Whether a text contains the keyword: one without it has no directives."""
+    return F.contains(text, F.lit(keyword + ":"))
+
+
+def document_directives(content: Column, keyword: str = KEYWORD) -> Column:
     """Array of struct(line, kind, pattern_id) of a document that counts: ignore-file in its first lines only.
 
     Lines without the keyword are left out first, so a document without directives costs one search.
     """
-    numbered = F.filter(F.transform(lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))), lambda x: F.contains(x["text"], F.lit(KEYWORD + ":")))
-    found = F.flatten(F.transform(numbered, lambda x: F.transform(line_directives(x["text"]), lambda d: F.struct(x["line"].alias("line"), d["kind"].alias("kind"), d["pattern_id"].alias("pattern_id")))))
+    numbered = F.filter(F.transform(lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))), lambda x: may_hold(x["text"], keyword))
+    found = F.flatten(F.transform(numbered, lambda x: F.transform(line_directives(x["text"], keyword), lambda d: F.struct(x["line"].alias("line"), d["kind"].alias("kind"), d["pattern_id"].alias("pattern_id")))))
     counted = F.filter(found, lambda d: (d["kind"] != "ignore-file") | (d["line"] <= HEADER_LINES))
-    return F.when(F.contains(content, F.lit(KEYWORD + ":")), counted).otherwise(none())
+    return F.when(may_hold(content, keyword), counted).otherwise(none())
 
 
 def is_suppressed(directives: Column, line: Column, pattern_id: Column) -> Column:

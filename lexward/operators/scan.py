@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexward.functions import dialect
 from lexward.functions import lines as L
 from lexward.functions.lines import sql_text
 from lexward.plans import registry as R
@@ -22,65 +22,14 @@ FINDING = ("pattern_id", "pattern_name", "severity", "message", "remediation", "
 SMALL_BYTES = 1 << 30
 
 
-def necessary(pattern: str) -> str | None:
-    """The longest run of ASCII letters, digits or plain marks that any match must hold, in lower case; or None.
-
-    Only what stands outside groups, classes and alternations and isn't repeated counts.
-    """
-    text = pattern.removeprefix("(?i)")
-    depth, runs, run, i = 0, [], "", 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            token, i = text[i : i + 2], i + 2
-            if token[1] in "xuUpP":
-                return None
-            token = token[1] if not token[1].isalnum() else ""
-        elif c == "[":
-            end = text.index("]", i + 2)
-            token, i = "", end + 1
-        else:
-            token, i = (c if c not in "().|^$*+?{}" else ""), i + 1
-            depth += (c == "(") - (c == ")")
-            if c == "|" and not depth:
-                return None
-        following = text[i] if i < len(text) else ""
-        if depth or not token or not token.isascii():
-            runs.append(run)
-            run = ""
-            if following == "{":
-                i = text.index("}", i) + 1
-            continue
-        if following and following in "*?{":
-            runs.append(run)
-            run = ""
-            if following == "{":
-                i = text.index("}", i) + 1
-            continue
-        run += token
-        if following == "+":
-            runs.append(run)
-            run = ""
-    runs.append(run)
-    best = max(runs, key=len)
-    return best.lower() if len(best) >= 2 else None
-
-
 def folded(text: str) -> str:
     """SQL of text in lower case as the gates see it; the two letters outside ASCII that fold into it are folded too."""
     return f"lower(translate({text}, {sql_text('\u017f\u212a')}, 'sk'))"
 
 
-_CLASS = re.compile(r"(?:\[((?:\\x\{[0-9A-F]+\})+)\])(?:\{[0-9]+,?[0-9]*\})?\Z")
-
-
-def gate_texts(pattern: str) -> tuple[str, ...]:
-    """Texts of which any match holds at least one, folded as by folded(); () where none is known."""
-    literal = necessary(pattern)
-    if literal:
-        return (literal,)
-    m = _CLASS.match(pattern)
-    return tuple(chr(int(x, 16)) for x in re.findall(r"\{([0-9A-F]+)\}", m[1])) if m else ()
+def gate_texts(p: R.Compiled) -> tuple[str, ...]:
+    """Texts of which any match of the pattern holds at least one, folded as by folded(); () where none is known."""
+    return dialect.gate_texts(p.pattern, p.case_sensitive)
 
 
 def _contains_any(low: str, texts: Sequence[str]) -> str:
@@ -89,7 +38,7 @@ def _contains_any(low: str, texts: Sequence[str]) -> str:
 
 def line_gate(patterns: Sequence[R.Compiled], text: str, gates: bool = True) -> str:
     """SQL of a condition that holds for every line with a match. The line is folded once, as the one element that exists() binds."""
-    known = [gate_texts(p.pattern) for p in patterns]
+    known = [gate_texts(p) for p in patterns]
     if not gates or not all(known):
         return "true"
     return f"exists(array({folded(text)}), low -> {_contains_any('low', sorted({t for texts in known for t in texts}))})"
@@ -104,7 +53,7 @@ def line_hits(patterns: Sequence[R.Compiled], text: str, gates: bool = True, cap
     def found(p: R.Compiled) -> str:
         every = f"regexp_extract_all({text}, {sql_text(p.java)}, 0)"
         every = every if cap is None else f"slice({every}, 1, {cap})"
-        known = gate_texts(p.pattern) if gates else ()
+        known = gate_texts(p) if gates else ()
         return f"CASE WHEN {_contains_any('low', known)} THEN {every} END" if known else every
 
     each = ", ".join(f"named_struct('ord', {p.ord}, 'found', {found(p)})" for p in patterns)
@@ -137,13 +86,13 @@ def spread(docs: DataFrame, parallelism: int | None = None) -> DataFrame:
     return docs.repartition(parallelism or docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else docs
 
 
-def scan_documents(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, gates: bool = True) -> DataFrame:
+def scan_documents(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, gates: bool = True, keyword: str = L.KEYWORD) -> DataFrame:
     """(file, hits, directives): docs (file, content) with the hits of each document, none left out.
 
     A null content is an empty document.
     """
     patterns = R.embedded() if patterns is None else patterns
-    held = L.document_directives(F.col("content")) if suppress else F.lit(None)
+    held = L.document_directives(F.col("content"), keyword) if suppress else F.lit(None)
     plain = docs.select("file", F.coalesce("content", F.lit("")).alias("content"))
     return plain.select("file", document_hits(patterns, "content", gates).alias("hits"), F.coalesce(held, L.none()).alias("directives"))
 
@@ -168,19 +117,26 @@ def line_findings(lines: DataFrame, patterns: Sequence[R.Compiled], gates: bool
     return found.selectExpr(*others, "ord", "posexplode_outer(found) AS (k, matched_text)")
 
 
-def findings(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, gates: bool = True) -> DataFrame:
+def findings(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, gates: bool = True, keyword: str = L.KEYWORD) -> DataFrame:
     """One row a finding: FINDING's fields, then ord, k and is_suppressed. Directives are read once a document."""
-    patterns = list(R.embedded() if patterns is None else patterns)
-    held = L.document_directives(F.col("content")) if suppress else L.none()
-    lines = docs.select("file", held.alias("directives"), "content").selectExpr("file", "directives", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)")
+    held = L.document_directives(F.col("content"), keyword) if suppress else L.none()
+    return _routed(docs.select("file", held.alias("directives"), "content"), list(R.embedded() if patterns is None else patterns), gates)
+
+
+def _routed(docs: DataFrame, patterns: Sequence[R.Compiled], gates: bool = True) -> DataFrame:
+    """findings() of documents with their directives."""
+    lines = docs.selectExpr("file", "directives", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)")
     found = line_findings(lines.selectExpr("file", "directives", "at + 1 AS line", "text"), patterns, gates)
     named = found.withColumn("p", F.expr(f"element_at({_attributes(patterns)}, ord + 1)"))
     return named.select(*[F.col(f"p.{n}").alias(n) for n in FINDING[:5]], "file", "line", "matched_text", "ord", "k", L.is_suppressed(F.col("directives"), F.col("line"), F.col("p.pattern_id")).alias("is_suppressed"))
 
 
-def matches(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True) -> DataFrame:
-    return findings(docs, patterns, suppress).where("NOT is_suppressed").drop("is_suppressed")
+def matches(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True, keyword: str = L.KEYWORD) -> DataFrame:
+    return findings(docs, patterns, suppress, keyword=keyword).where("NOT is_suppressed").drop("is_suppressed")
 
 
-def suppressed(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:
-    return findings(docs, patterns).where("is_suppressed").drop("is_suppressed")
+def suppressed(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None, keyword: str = L.KEYWORD) -> DataFrame:
+    """Findings that are held back. A document without a directive goes before its lines are parted."""
+    marked = docs.where(L.may_hold(F.col("content"), keyword))
+    held = once(marked.select("file", L.document_directives(F.col("content"), keyword).alias("directives"), "content")).where(F.size("directives") > 0)
+    return _routed(held, list(R.embedded() if patterns is None else patterns)).where("is_suppressed").drop("is_suppressed")

@@ -18,16 +18,16 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     return split.where("text IS NOT NULL").select("file", (F.col("at") + 1).alias("line"), "text")
 
 
-def all_directives(docs: DataFrame) -> DataFrame:
+def all_directives(docs: DataFrame, keyword: str = L.KEYWORD) -> DataFrame:
     """(file, line, kind, pattern_id) of every directive, late ignore-file ones included."""
-    marked = docs.where(F.contains("content", F.lit(L.KEYWORD + ":")))
-    found = doc_lines(marked).where(F.contains("text", F.lit(L.KEYWORD + ":")))
-    return found.select("file", "line", F.explode(L.line_directives(F.col("text"))).alias("d")).select("file", "line", "d.kind", "d.pattern_id")
+    marked = docs.where(L.may_hold(F.col("content"), keyword))
+    found = doc_lines(marked).where(L.may_hold(F.col("text"), keyword))
+    return found.select("file", "line", F.explode(L.line_directives(F.col("text"), keyword)).alias("d")).select("file", "line", "d.kind", "d.pattern_id")
 
 
-def directives(docs: DataFrame) -> DataFrame:
+def directives(docs: DataFrame, keyword: str = L.KEYWORD) -> DataFrame:
     """Those that count."""
-    return all_directives(docs).where((F.col("kind") != "ignore-file") | (F.col("line") <= L.HEADER_LINES))
+    return all_directives(docs, keyword).where((F.col("kind") != "ignore-file") | (F.col("line") <= L.HEADER_LINES))
 
 
 def file_wide_ids(docs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def withheld_by(docs: DataFrame, kind: str, patterns: Sequence[R.Compiled] | Non
     """Findings that directives of one kind hold back, whatever others do."""
     patterns = list(R.embedded() if patterns is None else patterns)
     of_kind = F.filter(L.document_directives(F.col("content")), lambda d: d["kind"] == kind)
-    held = S.once(docs.select("file", "content", of_kind.alias("directives"))).where(F.size("directives") > 0)
+    held = S.once(docs.where(L.may_hold(F.col("content"))).select("file", "content", of_kind.alias("directives"))).where(F.size("directives") > 0)
     lines = held.selectExpr("file", "directives", f"posexplode_outer({L.lines_sql('content')}) AS (at, text)").selectExpr("file", "directives", "at + 1 AS line", "text")
     return _named(S.line_findings(lines, patterns), patterns).where(L.is_suppressed(F.col("directives"), F.col("line"), F.col("pattern_id"))).select("file", "line", "pattern_id", "k", "matched_text")
 
@@ -50,26 +50,22 @@ def _named(found: DataFrame, patterns: Sequence[R.Compiled]) -> DataFrame:
     return found.withColumn("pattern_id", F.expr(f"element_at(array({ids}), ord + 1)"))
 
 
-def _keys(held: DataFrame) -> list[DataFrame]:
-    """The three equi-joins that suppression comes to: (file, line or none, pattern_id) by kind."""
-    return [
-        held.where("kind = 'ignore'").select("file", "line", "pattern_id"),
-        held.where("kind = 'ignore-next-line'").select("file", (F.col("line") + 1).alias("line"), "pattern_id"),
-        held.where("kind = 'ignore-file'").select("file", "pattern_id"),
-    ]
+def _holding(found: DataFrame, held: DataFrame):
+    """held, named apart, and the condition under which one of its directives holds a finding back."""
+    at = F.when(F.col("kind") == "ignore", F.col("line")).when(F.col("kind") == "ignore-next-line", F.col("line") + 1)
+    keys = held.select(F.col("file").alias("of_file"), F.col("pattern_id").alias("of_pattern"), at.alias("of_line"))
+    # Equal files and patterns key the join; the line, which a directive for the whole file lacks, is tested behind them.
+    return keys, (found["file"] == F.col("of_file")) & (found["pattern_id"] == F.col("of_pattern")) & (F.col("of_line").isNull() | (F.col("of_line") == found["line"]))
 
 
 def semi(found: DataFrame, held: DataFrame) -> DataFrame:
-    """Suppressed findings by left semi joins."""
-    same, following, whole = _keys(held)
-    by_line = found.join(same.unionByName(following), ["file", "line", "pattern_id"], "left_semi")
-    return by_line.unionByName(found.join(whole, ["file", "pattern_id"], "left_semi").join(same.unionByName(following), ["file", "line", "pattern_id"], "left_anti"))
+    """Suppressed findings by one left semi join."""
+    return found.join(*_holding(found, held), "left_semi")
 
 
 def anti(found: DataFrame, held: DataFrame) -> DataFrame:
-    """Findings that stay, by left anti joins."""
-    same, following, whole = _keys(held)
-    return found.join(same.unionByName(following), ["file", "line", "pattern_id"], "left_anti").join(whole, ["file", "pattern_id"], "left_anti")
+    """Findings that stay, by one left anti join."""
+    return found.join(*_holding(found, held), "left_anti")
 
 
 def next_line_by_window(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:
@@ -82,10 +78,9 @@ def next_line_by_window(docs: DataFrame, patterns: Sequence[R.Compiled] | None =
     return named.where(F.array_contains("before", F.col("pattern_id"))).select("file", "line", "pattern_id", "k", "matched_text")
 
 
-def matches_by_difference(found: DataFrame) -> DataFrame:
-    """What stays, as all findings except the suppressed ones."""
-    columns = [c for c in found.columns if c != "is_suppressed"]
-    return found.select(*columns).exceptAll(found.where("is_suppressed").select(*columns))
+def matches_by_difference(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:
+    """What stays, as all findings except the suppressed ones; the latter's search leaves out documents without directives."""
+    return S.findings(docs, patterns, suppress=False).drop("is_suppressed").exceptAll(S.suppressed(docs, patterns))
 
 
 def cap_by_window(docs: DataFrame, patterns: Sequence[R.Compiled] | None = None) -> DataFrame:

@@ -128,7 +128,7 @@ def suppress_file_header_window(spark, sf_dir):
     O.query("SELECT file, line, pattern_id, is_suppressed FROM findings WHERE (file, line) IN (SELECT (file, line + CASE kind WHEN 'ignore' THEN 0 ELSE 1 END) FROM directives WHERE kind <> 'ignore-file' GROUP BY file, line, kind HAVING count(*) > 1)")
 )
 def suppress_multi_id(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir).where(Su.L.may_hold(F.col("content")))
     at = F.col("line") + F.when(F.col("kind") == "ignore", 0).otherwise(1)
     several = Su.directives(docs).where("kind <> 'ignore-file'").groupBy("file", "line", "kind").count().where("count > 1").select("file", at.alias("line"))
     return S.findings(docs).join(several, ["file", "line"], "left_semi").select("file", "line", "pattern_id", "is_suppressed")
@@ -153,7 +153,7 @@ def suppress_join_anti(spark, sf_dir):
 
 @_query(O.query(f"SELECT {_SHORT} FROM findings WHERE NOT is_suppressed"))
 def matches_by_difference(spark, sf_dir):
-    return Su.matches_by_difference(S.findings(_docs(spark, sf_dir))).select(*_cols(_SHORT))
+    return Su.matches_by_difference(_docs(spark, sf_dir)).select(*_cols(_SHORT))
 
 
 @_query(O.query(f"SELECT {_FULL} FROM findings WHERE NOT is_suppressed", directives=False))
@@ -171,12 +171,12 @@ def file_wide_ids(spark, sf_dir):
 
 @_query(O.query("SELECT file FROM reports WHERE n_matches > 0"))
 def docs_with_findings(spark, sf_dir):
-    return Rp.reports(_docs(spark, sf_dir)).where(F.size("matches") > 0).select("file")
+    return Rp.counts(_docs(spark, sf_dir)).where("n_matches > 0").select("file")
 
 
 @_query(O.query("SELECT file, critical_count, high_count, medium_count, low_count FROM reports WHERE n_matches > 0"))
 def report_counts(spark, sf_dir):
-    return Rp.reports(_docs(spark, sf_dir)).where(F.size("matches") > 0).select("file", *Rp.COUNTS)
+    return Rp.counts(_docs(spark, sf_dir)).where("n_matches > 0").select("file", *Rp.COUNTS)
 
 
 @_query(O.query("SELECT file, critical_count, high_count, medium_count, low_count, n_matches, suppressed_count FROM reports"))
@@ -201,7 +201,7 @@ def report_nested(spark, sf_dir):
 
 @_query(O.query("SELECT file, suppressed_count FROM reports WHERE suppressed_count > 0"))
 def suppressed_counts(spark, sf_dir):
-    return Rp.reports(_docs(spark, sf_dir)).where(F.size("suppressed") > 0).select("file", F.size("suppressed").cast("bigint").alias("suppressed_count"))
+    return Rp.counts(_docs(spark, sf_dir)).where("suppressed_count > 0").select("file", "suppressed_count")
 
 
 _TOTALS = (
@@ -212,12 +212,12 @@ _TOTALS = (
 
 @_query(O.query(_TOTALS))
 def run_totals(spark, sf_dir):
-    return Rp.run_totals(Rp.reports(_docs(spark, sf_dir)))
+    return Rp.run_totals(Rp.counts(_docs(spark, sf_dir)))
 
 
 @_query(O.query("SELECT coalesce(max((n_matches > 0)::INT), 0) AS exit_code FROM reports"))
 def exit_code(spark, sf_dir):
-    return Rp.run_totals(Rp.reports(_docs(spark, sf_dir))).select("exit_code")
+    return Rp.run_totals(Rp.counts(_docs(spark, sf_dir))).select("exit_code")
 
 
 @_query(O.query("SELECT file, line, ord, k, '  :' || line || ' ' || severity || '  ' || message || ' — ' || remediation || '  (' || pattern_id || ')' AS text FROM findings WHERE NOT is_suppressed"))
@@ -241,6 +241,19 @@ def severity_resolve(spark, sf_dir):
 _OVERLAY = (
     R.Category("house", "MEDIUM", (R.Pattern("HS001", "word", "worthless"), R.Pattern("PI001", "again", "something else"), R.Pattern("HS002", "mark", "license", "LOW"))),
     R.Category("more", "LOW", (R.Pattern("HS001", "twice", "pathetic"), R.Pattern("HS003", "lone", "token", case_sensitive=True))),
+    R.Category(
+        "forms",
+        "LOW",
+        (
+            R.Pattern("HS010", "bracket within a class", r"ov[\]e]rride"),
+            R.Pattern("HS011", "named class", "[[:alpha:]]nstructions"),
+            R.Pattern("HS012", "repetition of a repetition", "(?:al{1,2}){1,3} prev"),
+            R.Pattern("HS013", "branches", "(?:mode (?:on|activated)|unlimited|purpose) ?"),
+            R.Pattern("HS014", "case turned on again", "(?i:dan) mode", case_sensitive=True),
+            R.Pattern("HS015", "optional ends", "(?:s|re)?end data?"),
+            R.Pattern("HS016", "flags within", "(?-i:SYSTEM) over"),
+        ),
+    ),
 )
 _BOTH = (*R.load_embedded(), *_OVERLAY)
 
@@ -307,7 +320,7 @@ def severity_rollup(spark, sf_dir):
 
 @_query(O.query("SELECT file, n_matches FROM reports ORDER BY n_matches DESC, file LIMIT 20"))
 def top_documents(spark, sf_dir):
-    return Rp.reports(_docs(spark, sf_dir)).select("file", F.size("matches").cast("bigint").alias("n_matches")).orderBy(F.desc("n_matches"), "file").limit(20)
+    return Rp.counts(_docs(spark, sf_dir)).select("file", "n_matches").orderBy(F.desc("n_matches"), "file").limit(20)
 
 
 def _one(p: R.Compiled):

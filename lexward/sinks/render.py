@@ -23,8 +23,7 @@ def _summary(totals) -> str:
     if held:
         what, them = ("finding", "it") if held == 1 else ("findings", "them")
         where = f"{files} scanned file" + ("" if files == 1 else "s")
-        flag = "--no-suppress"
-        out += " ".join((str(held), what, "suppressed by directives in", where + ".", "Re-run with", flag, "to see", them + ".")) + "\n"
+        out += f"{held} {what} suppressed by directives in {where}. Re-run with --no-suppress to see {them}.\n"
     return out
 
 

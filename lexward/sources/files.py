@@ -16,7 +16,7 @@ from lexward.functions.paths import is_scanned_name
 TASK_BYTES = 64 << 20
 TASK_FILES = 2_000
 
-_SCHEMA = "file string, content string, reason string"
+_SCHEMA = "file string, content string, reason string, is_folder boolean"
 
 
 def describe(error: Exception) -> str:
@@ -27,7 +27,7 @@ def describe(error: Exception) -> str:
         return "permission denied"
     if isinstance(error, FileNotFoundError):
         return "not found, or a broken link"
-    return getattr(error, "strerror", None) or str(error)
+    return getattr(error, "strerror", None) or root_cause(error)
 
 
 def root_cause(error: BaseException) -> str:
@@ -84,6 +84,7 @@ def walk(folder: str) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
 @dataclass
 class _Files(InputPartition):
     paths: tuple[str, ...]
+    folders: tuple[tuple[str, str], ...] = ()
 
 
 class _Reader(DataSourceReader):
@@ -91,28 +92,32 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[_Files]:
-        """Files in runs of about TASK_BYTES."""
+        """Files in runs of about TASK_BYTES, and with the last the folders that can't be entered: the tree is walked once."""
         out: list[_Files] = []
         run: list[str] = []
         size = 0
-        for path, n in walk(self.folder)[0]:
+        files, folders = walk(self.folder)
+        for path, n in files:
             if run and (size + n > TASK_BYTES or len(run) >= TASK_FILES):
                 out.append(_Files(tuple(run)))
                 run, size = [], 0
             run.append(path)
             size += n
-        return [*out, *([_Files(tuple(run))] if run or not out else [])]
+        return [*out, _Files(tuple(run), tuple(folders))]
 
-    def read(self, partition: _Files) -> Iterator[tuple[str, str | None, str | None]]:
+    def read(self, partition: _Files) -> Iterator[tuple[str, str | None, str | None, bool]]:
         for path in partition.paths:
             try:
-                yield path, read_text(path), None
+                yield path, read_text(path), None, False
             except (OSError, UnicodeDecodeError) as e:
-                yield path, None, describe(e)
+                yield path, None, describe(e), False
+        for path, reason in partition.folders:
+            yield path, None, reason, True
 
 
 class FolderSource(DataSource):
-    """spark.read.format('lexward_files').load(folder): one row a file, with its text or the reason there is none."""
+    """spark.read.format('lexward_files').load(folder): one row a file, with its text or the reason there is none, and
+    one for each folder that can't be entered."""
 
     @classmethod
     def name(cls) -> str:
@@ -126,7 +131,7 @@ class FolderSource(DataSource):
 
 
 def folder_table(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, content, reason) of every scanned file below a folder that all executors see."""
+    """(file, content, reason, is_folder) of every scanned file below a folder that all executors see."""
     spark.dataSource.register(FolderSource)
     return spark.read.format("lexward_files").load(folder)
 
@@ -136,7 +141,8 @@ def documents(table: DataFrame) -> DataFrame:
 
 
 def skipped_files(table: DataFrame) -> DataFrame:
-    return table.where("reason IS NOT NULL").select("file", "reason")
+    """(file, reason, is_folder) of what couldn't be read."""
+    return table.where("reason IS NOT NULL").select("file", "reason", "is_folder")
 
 
 def single(spark: SparkSession, name: str, content: str) -> DataFrame:

@@ -8,15 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexward.functions import paths
 from lexward.operators import report as Rp
 from lexward.operators import scan as S
 from lexward.plans import registry as R
 
 
+def file_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content, reason, seen) of the files that arrive in a folder or below it: the batch source's rules.
+
+    A file counts by the extension of its name and is one document, with its bytes as they are; one that isn't UTF-8
+    has no content but a reason. Names that begin with '.' or '_' are what writers use for files that aren't ready: the
+    stream leaves them alone, and Spark passes over empty files, which have no findings; in both it differs from the batch source.
+    """
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    file = F.col("path")
+    content = F.try_validate_utf8(F.col("content").cast("string"))
+    return raw.where(paths.is_scanned(file)).select(file.alias("file"), content.alias("content"), F.when(content.isNull(), F.lit("not valid UTF-8 text")).alias("reason"), F.current_timestamp().alias("seen"))
+
+
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, content, seen) of the files that arrive in a folder, each one document."""
-    raw = spark.readStream.format("text").option("wholetext", "true").load(folder)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"), F.current_timestamp().alias("seen"))
+    """(file, content, seen) of the files that can be read."""
+    return file_stream(spark, folder).where("reason IS NULL").drop("reason")
 
 
 def findings(stream: DataFrame, patterns: Sequence[R.Compiled] | None = None, suppress: bool = True) -> DataFrame:

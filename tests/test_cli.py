@@ -110,3 +110,48 @@ def test_binary_table(spark):
     table = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"\x00\xff\xfe\x80"))], "path string, content binary")
     good, bad = files.binary_table(table)
     assert [r["file"] for r in good.collect()] == ["a"] and [r["file"] for r in bad.collect()] == ["b"]
+
+
+def test_a_folder_that_cannot_be_entered(tmp_path, monkeypatch):
+    (tmp_path / "shut").mkdir()
+    (tmp_path / "shut" / "a.md").write_text(ONE)
+    (tmp_path / "b.md").write_text(ONE)
+    real = os.listdir
+
+    def listdir(path):
+        if str(path).endswith("shut"):
+            raise PermissionError(13, "Permission denied")
+        return real(path)
+
+    monkeypatch.setattr(files.os, "listdir", listdir)
+    reader = files._Reader(str(tmp_path))
+    rows = [r for part in reader.partitions() for r in reader.read(part)]
+    assert rows == [(str(tmp_path / "b.md"), ONE, None, False), (str(tmp_path / "shut"), None, "permission denied", True)]
+    with pytest.raises(PermissionError):
+        files.walk(str(tmp_path / "shut"))
+
+
+def test_folder_and_file_warnings(spark, tree, monkeypatch):
+    shut = spark.createDataFrame([("a.md", ONE, None, False), ("b.md", None, "not valid UTF-8 text", False), ("shut", None, "permission denied", True)], files._SCHEMA)
+    monkeypatch.setattr(files, "folder_table", lambda *_: shut)
+    code, out, err = run(spark, tree)
+    assert code == 1 and "1 finding(s)" in out
+    assert err.splitlines() == ["warning: skipped directory shut — permission denied", "warning: skipped b.md — not valid UTF-8 text", "warning: 2 file(s) skipped and NOT scanned, as told above"]
+
+
+def test_errors_name_their_root(monkeypatch, capsys, tmp_path):
+    (tmp_path / "bad.yaml").write_text("category: x\ndefault_severity: NONE\npatterns: []\n")
+    assert cli.main(["check", str(tmp_path), "--patterns", str(tmp_path), "--strict-patterns"]) == 1
+    assert "unknown severity 'NONE'" in capsys.readouterr().err
+    (tmp_path / "bin.txt").write_bytes(b"\xff\xfe")
+    monkeypatch.setattr(cli, "_session", lambda: None)
+    assert cli.main(["check", str(tmp_path / "bin.txt")]) == 1
+    assert capsys.readouterr().err.rstrip().endswith("not valid UTF-8 text")
+
+
+def test_another_scanner_s_directives(spark, tmp_path):
+    (tmp_path / "a.md").write_text(ONE.strip() + " other-tool:ignore PI001\n")
+    assert run(spark, tmp_path / "a.md")[0] == 1
+    assert run(spark, tmp_path / "a.md", keyword="other-tool")[0] == 0
+    with pytest.raises(ValueError):
+        run(spark, tmp_path / "a.md", keyword="a|b")

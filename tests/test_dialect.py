@@ -2,7 +2,10 @@
 
 import pytest
 
-from lexward.functions.dialect import DialectError, to_java
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from lexward.functions.dialect import DialectError, gate_texts, to_java
 
 
 def matches(spark, pattern, text, case_sensitive=False):
@@ -47,7 +50,68 @@ def test_case_sensitive(spark):
     assert matches(spark, "(?i)EXACT", "exact", True) == ["exact"]
 
 
-@pytest.mark.parametrize("pattern", ["[invalid(", "(a", "a)", "(?=a)", "(?<!a)b", r"(a)\1", "(?>a)", "[a-c--b]", "[a&&b]", "*a", "a{3,2}", r"\Q", "(?U)a", "a{2000}", "[z-a]", r"\k<n>", "(?P<n>a)(?P<n>b)", "[[a]]", "\\", "(" * 200])
+@pytest.mark.parametrize("pattern", ["[invalid(", "(a", "a)", "(?=a)", "(?<!a)b", r"(a)\1", "(?>a)", "[a-c--b]", "[a&&b]", "*a", "a{3,2}", r"\Q", "(?U)a", "[z-a]", r"\k<n>", "(?P<n>a)(?P<n>b)", "[[a]]", "\\", "(" * 200, "(" * 260 + "a" + ")" * 260])
 def test_refused(pattern):
     with pytest.raises(DialectError):
         to_java(pattern)
+
+
+def test_long_forms_are_accepted(spark):
+    """Folding of any range, deep nesting and long repetitions, as the dialect's own engine has them."""
+    assert matches(spark, r"[\x{4E00}-\x{9FFF}]+", "数字 x") == ["数字"]
+    assert matches(spark, r"[\x{41}-\x{10FFFF}]+", " ab ſK") == ["ab", "ſK"]
+    assert matches(spark, "(" * 200 + "a" + ")" * 200, "bA") == ["A"]
+    assert matches(spark, "a{1500}", "a" * 1600) == ["a" * 1500]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"foo[\]a]bar", {"foo"}),
+        ("[[:alpha:]]xyz", {"xyz"}),
+        ("fooa+*bar", {"foo"}),
+        ("fooa+bar", {"fooa"}),
+        ("x{0,2}yes", {"yes"}),
+        ("(ab)?", set()),
+        ("ab|c*", set()),
+        ("ab|cde", {"ab", "cde"}),
+        ("(?:one|three) [xy]", {"one ", "three "}),
+        ("a{3}b", {"aaab"}),
+        ("[^ab]c", set()),
+        (r"\bDAN\b m", {"dan m"}),
+        (r"\x{202E}|\x{200B}", {"\u202e", "\u200b"}),
+        ("Ünder", {"nder"}),
+        ("k", set()),
+        ("(?-i:AB)", {"ab"}),
+    ],
+)
+def test_gate_texts(pattern, want):
+    got = set(gate_texts(pattern))
+    assert got == want or pattern.startswith("(?:one") and got in (want, {t.strip() for t in want})
+
+
+_ATOMS = st.sampled_from(["a", "b", "ab", "K", "s", "é", "İ", ".", r"\s", r"\w", r"\]", r"\.", "[ab]", r"[\]a]", "[^a]", "[[:alpha:]]", "[a-cK]", r"\x{200B}", "^", "$", r"\b", "(?i)", "(?-i)", "(?i:aB)", "(?-i:Ab)"])
+_MARKS = st.sampled_from(["", "", "", "+", "*", "?", "{2}", "{0,1}", "{1,}", "+*", "*?", "{0}"])
+
+
+def _grow(inner):
+    piece = st.tuples(st.one_of(_ATOMS, inner.map(lambda p: f"(?:{p})"), inner.map(lambda p: f"({p})")), _MARKS).map("".join)
+    return st.one_of(st.lists(piece, min_size=1, max_size=4).map("".join), st.lists(inner, min_size=2, max_size=3).map("|".join))
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.recursive(_ATOMS, _grow, max_leaves=8), st.booleans(), st.lists(st.text(st.sampled_from("aAbBcKkſsSéÉİi]. \u200b\n"), max_size=12), min_size=1, max_size=8))
+def test_every_match_holds_a_gate_text(spark, pattern, case_sensitive, texts):
+    """Java's own engine on patterns made at random: no text with a match lacks all of the gate's texts."""
+    try:
+        java = to_java(pattern, case_sensitive)
+    except DialectError:
+        return
+    known = gate_texts(pattern, case_sensitive)
+    if not known:
+        return
+    compiled = spark._jvm.java.util.regex.Pattern.compile(java)
+    for text in texts:
+        if compiled.matcher(text).find():
+            low = text.replace("ſ", "s").replace("K", "k").lower()
+            assert any(t in low for t in known), (pattern, java, text, known)
