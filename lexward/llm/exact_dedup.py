@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexward.llm import golomb
 from lexward.llm.common import cut, hinted
@@ -16,6 +17,9 @@ from lexward.llm.common import cut, hinted
 #: Bits of a fingerprint. Chance collisions only add suspects, which are compared byte by byte.
 FINGERPRINT_BITS = 48
 
+#: Fingerprints that an owner holds, about.
+OWNED = 1 << 22
+
 _MESSAGE = "sender int, owner int, blob binary"
 
 
@@ -70,30 +74,44 @@ def _marked(owners: int):
 def suspect_fingerprints(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """The fingerprints that more than one text of docs has, with their number; only coded messages are exchanged."""
     spark = docs.sparkSession
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     column = docs[f"`{text}`"]
+    # As many owners as there are shuffle partitions, and more where each would hold too many fingerprints.
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
     sent = cut(docs.where(column.isNotNull()).select(_fingerprint(column).alias("fp")).mapInArrow(_send(owners), _MESSAGE))
     answers = sent.groupBy("owner").applyInArrow(_judge, "sender int, owner int, bitmap binary")
     marked = cut(sent.join(answers, ["sender", "owner"]).mapInArrow(_marked(owners), "suspect bigint").distinct())
     return marked, marked.count()
 
 
-def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ids, keep): for each text that several rows have, their ids in order and the least.
+def _digest(text):
+    """What stands for a text in the second shuffle, after the first compared the bytes; 32 bytes."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _later(order):
+    """Nulls last, and then by the column."""
+    return F.struct(order.isNull().alias("none"), order.alias("id"))
+
+
+def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(digest, keep, n, bodies, body) for each text that several rows have, and its suspects (id, digest, body).
 
     Suspects alone are shuffled, by their whole text, so equal groups are equal byte for byte. Copies within a
-    map task are combined before the shuffle, so a text that is repeated very often travels once a task.
+    map task are combined before the shuffle into one row with their least id and number, so a text that is repeated
+    very often travels once a task, and no list of its ids is ever made. bodies counts the texts of a digest; body
+    is null but where there are several.
     """
     marked, n = suspect_fingerprints(docs, text)
     rows = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("body")).where(F.col("body").isNotNull())
-    suspects = rows.join(hinted(marked, n, 40), _fingerprint(F.col("body")) == F.col("suspect"), "left_semi")
-    return (
-        suspects.groupBy("body")
-        .agg(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id")).alias("ids"))
-        .where(F.size("ids") > 1)
-        .select(F.transform(F.array_sort("ids"), lambda x: x["id"]).alias("ids"))
-        .select("ids", F.element_at("ids", 1).alias("keep"))
-    )
+    suspects = rows.join(hinted(marked, n, 40), _fingerprint(F.col("body")) == F.col("suspect"), "left_semi").withColumn("digest", _digest(F.col("body")))
+    texts = suspects.groupBy("digest", "body").agg(F.min(_later(F.col("id"))).alias("least"), F.count("*").alias("n"))
+    told = texts.select("digest", "n", F.col("least.id").alias("keep"), F.struct("body").alias("b"))
+    # Of a digest with one text, which is to say of all, the text itself goes no further.
+    listed = told.groupBy("digest").agg(F.count("*").alias("bodies"), F.max(F.struct("n", "keep")).alias("only"))
+    single = listed.where("bodies = 1 AND only.n > 1").select("digest", "only.keep", "only.n", "bodies", F.lit(None).cast("string").alias("body"))
+    clashing = listed.where("bodies > 1").select("digest", "bodies")
+    several = told.join(clashing, "digest").where("n > 1").select("digest", "keep", "n", "bodies", "b.body")
+    return cut(single.unionAll(several)), suspects
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,27 +122,43 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     with keep_doc_id equal to doc_id where the kept row has the same id. An empty table gives no rows. Texts
     of any length are compared whole. Other columns are not read, so their names can't clash.
     """
-    pairs = duplicate_groups(docs, doc_id, text).select(F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("dup"), "keep")
-    return pairs.select(F.col("dup").alias("doc_id"), F.col("keep").alias("keep_doc_id"))
+    groups, suspects = duplicate_groups(docs, doc_id, text)
+    side = hinted(groups.withColumnRenamed("body", "of_body"), groups.count(), 80)
+    # A text with very many rows is one row of the side, so its rows stay where they are or are split.
+    rows = suspects.join(side, "digest").where("bodies = 1 OR body = of_body").select("id", "keep", "digest", "of_body", F.col("id").eqNullSafe(F.col("keep")).alias("kept"))
+    later = rows.where("NOT kept").select("id", "keep")
+    # Of rows with the kept one's id all but one are listed: their number less one, written out in two steps of bounded arrays.
+    again = rows.where("kept").groupBy("digest", "of_body", "id", "keep").count().where("count > 1").withColumn("more", F.col("count") - 1)
+    thousands = again.select("id", "keep", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("more") - 1) / 1000))).alias("k"))
+    each = thousands.select("id", "keep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(1000).cast("bigint"), F.col("more") - F.col("k") * 1000))).alias("j"))
+    return later.unionAll(each.select("id", "keep")).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_doc_id"))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return kind.typeName() not in ("map", "variant")
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each text: the one with the least id (a null id comes last).
 
     Columns stay as they are, clashing names included. Rows with a null text all stay. Among rows with the same
-    id and text any one stays, they may differ in other columns only; the least by those columns, as far as
-    they can be ordered, is taken.
+    id and text the least by the other columns stays, maps and variants being compared as JSON. Texts of any length
+    are compared whole; an empty table gives no rows.
     """
     marked, n = suspect_fingerprints(docs, text)
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    keyed = whole.select("row", F.col(f"row.`{text}`").alias("body"))
+    names = docs.columns
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names if c != text]).alias("row"), docs[f"`{text}`"].alias("body"))
     keyed = keyed.withColumn("fp", F.when(F.col("body").isNotNull(), _fingerprint(F.col("body"))))
     side = hinted(marked, n, 40)
-    alone = keyed.join(side, F.col("fp") == F.col("suspect"), "left_anti").select("row")
-    others = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in (doc_id, text) and f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    alone = keyed.join(side, F.col("fp") == F.col("suspect"), "left_anti").select("row", "body")
+    others = [F.col(f"row.`{f.name}`") if _orderable(f.dataType) else F.to_json(F.struct(F.col(f"row.`{f.name}`"))) for f in docs.schema if f.name not in (doc_id, text)]
     order = F.struct(F.col(f"row.`{doc_id}`").isNull(), F.col(f"row.`{doc_id}`"), *others)
-    kept = keyed.join(side, F.col("fp") == F.col("suspect"), "left_semi").groupBy("body").agg(F.min_by("row", order).alias("row")).select("row")
-    return alone.unionAll(kept).select("row.*")
+    kept = keyed.join(side, F.col("fp") == F.col("suspect"), "left_semi").groupBy("body").agg(F.min_by("row", order).alias("row")).select("row", "body")
+    return alone.unionAll(kept).select(*[F.col("body").alias(text) if c == text else F.col(f"row.`{c}`") for c in names])
 
 
 ORACLE = """SELECT doc_id, keep_doc_id FROM (

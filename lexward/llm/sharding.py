@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ DEFAULT_TREE: Tree = {
     "west": {"w1": {"w1a": 5, "w1b": 5}, "w2": {"w2a": 2.5, "w2b": 2.5}, "w3": {"w3a": 1, "w3b": 1}},
 }
 
+LEVELS = ("region", "rack", "shard")
+
 #: Draws are uniform multiples of 2**-48.
 DRAW_BITS = 48
 
@@ -29,28 +32,33 @@ def paths(tree: Tree) -> list[tuple[str, str, str, float]]:
     return [(r, k, s, float(w)) for r, racks in tree.items() for k, shards in racks.items() for s, w in shards.items() if w > 0]
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    """Exponential draw of rate weight: the least of several falls on each in proportion to its weight."""
-    digits = F.substring(F.md5(F.concat(key, F.lit("/" + name)).cast("binary")), 1, DRAW_BITS // 4)
-    uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**DRAW_BITS)
-    return -F.log(uniform) / F.lit(float(weight))
+def _nodes(tree: Tree) -> Column:
+    """The tree as an array, level by level from the root: of each inner node the children with a positive weight as
+    struct(name, path, weight, node), node being the child's place in the array, -1 for a shard."""
+    nodes: list[list[dict]] = [[]]
+    waiting: list[tuple[int, str, Mapping]] = [(0, "", tree)]
+    for at, path, node in waiting:
+        for name, child in node.items():
+            if _weight(child) > 0:
+                inner = isinstance(child, Mapping)
+                nodes[at].append({"name": name, "path": f"{path}/{name}", "weight": _weight(child), "node": len(nodes) if inner else -1})
+                if inner:
+                    waiting.append((len(nodes), f"{path}/{name}", child))
+                    nodes.append([])
+    # JSON, which is folded to one literal when the query is planned.
+    return F.from_json(F.lit(json.dumps(nodes)), "array<array<struct<name:string,path:string,weight:double,node:int>>>")
 
 
-def _pick(key: Column, node: Mapping, path: tuple[str, ...]) -> Column:
-    """The name of the child of node that wins the draws."""
-    children = [(name, _weight(child)) for name, child in node.items() if _weight(child) > 0]
-    names = F.array(*[F.lit(name) for name, _ in children])
-    if len(children) == 1:
-        return F.lit(children[0][0])
-    draws = [F.struct(_draw(key, "/".join((*path, name)), weight).alias("d"), F.lit(i).alias("i")) for i, (name, weight) in enumerate(children)]
-    return F.element_at(names, F.least(*draws)["i"] + 1)
+def _pick(key: Column, children: Column) -> Column:
+    """The child that wins: each makes an exponential draw with its weight as rate, and the least falls on each in
+    proportion to its weight. An only child wins without drawing."""
 
+    def draw(child: Column, i: Column) -> Column:
+        digits = F.substring(F.md5(F.concat(key, child["path"]).cast("binary")), 1, DRAW_BITS // 4)
+        uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**DRAW_BITS)
+        return F.struct((-F.log(uniform) / child["weight"]).alias("d"), i.alias("i"))
 
-def _case(options: list[tuple[Column, Column]]) -> Column:
-    out = F
-    for condition, value in options:
-        out = out.when(condition, value)
-    return out
+    return F.when(F.size(children) == 1, F.get(children, F.lit(0))).otherwise(F.get(children, F.array_min(F.transform(children, draw))["i"]))
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", tree: Tree = DEFAULT_TREE) -> DataFrame:
@@ -69,16 +77,12 @@ def assign_shards(df: DataFrame, key: str = "doc_id", tree: Tree = DEFAULT_TREE)
         raise ValueError("the tree has no positive weight")
     column = df[f"`{key}`"]
     text = F.coalesce(F.concat(F.lit("key:"), column.cast("string")), F.lit("null:"))
-    regions = {r: node for r, node in tree.items() if _weight(node) > 0}
-    racks = {(r, k): node for r, node in regions.items() for k, node in node.items() if _weight(node) > 0}
-    # One projection a level: the level above is computed once, and only the chosen node's children draw.
-    return (
-        df.select(column.alias("key"), text.alias("text"))
-        .withColumn("region", _pick(F.col("text"), tree, ()))
-        .withColumn("rack", _case([(F.col("region") == r, _pick(F.col("text"), node, (r,))) for r, node in regions.items()]))
-        .withColumn("shard", _case([((F.col("region") == r) & (F.col("rack") == k), _pick(F.col("text"), node, (r, k))) for (r, k), node in racks.items()]))
-        .select(F.col("key").alias(key), "region", "rack", "shard")
-    )
+    out, at, nodes = df.select(column.alias("key"), text.alias("text")), F.lit(0), _nodes(tree)
+    # A projection a level: only the chosen node's children draw. The tree is one literal, so its size isn't the code's.
+    for level in LEVELS:
+        out = out.withColumn(level, _pick(F.col("text"), F.get(nodes, at)))
+        at = F.col(level)["node"]
+    return out.select(F.col("key").alias(key), *[F.col(level)["name"].alias(level) for level in LEVELS])
 
 
 def oracle(tree: Tree = DEFAULT_TREE, table: str = "documents", key: str = "doc_id") -> str:

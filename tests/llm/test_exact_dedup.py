@@ -62,3 +62,37 @@ def test_many_copies_over_partitions(spark, partitions):
     rows = [(i, "same" if i % 2 else f"own {i}", "en", "web") for i in range(400)]
     got = X.exact_duplicates(messy(spark, rows).repartition(partitions))
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_digests_may_collide(spark, monkeypatch):
+    """Bytes decide, not the digest that stands for them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(X, "FINGERPRINT_BITS", 3)
+    monkeypatch.setattr(X, "_digest", lambda text: F.pmod(F.xxhash64(text), F.lit(3)).cast("string").cast("binary"))
+    rows = [(i, f"text {i % 40}", "en", "web") for i in range(60)] + [(None, "text 1", "en", "web")]
+    assert sorted(map(tuple, X.exact_duplicates(messy(spark, rows)).collect()), key=repr) == brute(rows)
+
+
+def test_rows_repeated_very_often(spark):
+    rows = [(7, "again", "en", "web")] * 2503 + [(None, "none", "en", "web")] * 1002 + [(9, "again", "en", "web")]
+    got = sorted(map(tuple, X.exact_duplicates(messy(spark, rows)).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_owners_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "OWNED", 10)
+    rows = [(i, f"text {i % 70}", "en", "web") for i in range(140)]
+    assert sorted(map(tuple, X.exact_duplicates(messy(spark, rows)).collect()), key=repr) == brute(rows)
+
+
+def test_ties_fall_by_any_column(spark):
+    """Of rows that differ in an array, a struct or a map only the least stays, whatever the order of rows."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6).select(
+        F.lit(1).cast("bigint").alias("doc_id"), F.lit("t").alias("text"), F.array(F.col("id") % 2).alias("a"), F.struct((F.col("id") % 3).alias("x")).alias("s"), F.create_map(F.lit("k"), F.col("id")).alias("m")
+    )
+    for order in ("id", "-id"):
+        (kept,) = X.drop_exact_duplicates(rows.orderBy(F.expr(order.replace("id", "m['k']"))).repartition(3)).collect()
+        assert (kept["a"], kept["s"]["x"], kept["m"]) == ([0], 0, {"k": 0})

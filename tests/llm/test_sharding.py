@@ -58,5 +58,12 @@ def test_messy(spark):
         S.assign_shards(messy(spark), tree={"a": {"b": {"c": 0}}})
 
 
+def test_thousands_of_shards(spark):
+    """The tree is data, not code: three thousand shards are placed by the same few expressions."""
+    tree = {f"r{r}": {f"k{k}": {f"s{r}-{k}-{s}": 1 + (r + k + s) % 3 for s in range(30)} for k in range(10)} for r in range(10)}
+    got = placed(spark, tree, 200)
+    assert got == {i: brute(i, tree) for i in range(200)}
+
+
 def test_one_pass(spark):
     assert "Exchange" not in S.assign_shards(messy(spark))._jdf.queryExecution().executedPlan().toString()
