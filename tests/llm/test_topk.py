@@ -41,7 +41,8 @@ def test_equals_brute_force(spark, n, dim, skew):
 
 def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
-    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "RANGE", 2)
+    monkeypatch.setattr(topk, "GROUP", 50)
     rows = vectors(900, 16, 5)
     same(run(spark, rows), brute(rows))
 
@@ -63,19 +64,42 @@ def test_too_few(spark, rows):
     assert run(spark, rows) == []
 
 
-def test_groups_widen_once_there_are_enough():
-    assert topk.groups_of(1, 8) == 1
-    assert topk.groups_of(20 * 8192, 8) == 20
-    assert topk.groups_of(100 * 8192, 8) == 32
-    assert topk.groups_of(10**9, 8) == -(-(10**9) // (64 * 1024))
+def test_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "GROUP", 5)
+    rows = vectors(600, 8, 3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, topk.top_k(df, 4, queries=F.col("id") % 7 == 0).collect()))
+    same(got, [r for r in brute(rows, 4) if r[0] % 7 == 0])
+
+
+def test_one_direction_is_split(spark, monkeypatch):
+    """A third of all vectors point the same way: no group holds them all."""
+    monkeypatch.setattr(topk, "GROUP", 40)
+    rows = vectors(200, 6, 8, False) + [(1000 + i, [1.0 + i / 1000, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(100)]
+    same(run(spark, rows), brute(rows))
+    plain = spark.createDataFrame(rows, "id bigint, v array<double>")
+    sizes = [r["count"] for r in topk._grouped(plain, np.eye(6), 6).groupBy("g").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 60
 
 
 def test_bounds_leave_pairs_out():
-    """Far fewer rows are merged than pairs exist, and blocks beyond the reach aren't met."""
+    """Of the pairs of queries and items most aren't even begun, and few of those begun are finished; the result stays."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((2000, 24)) * 0.6 ** np.arange(24) * rng.gamma(1, 1, (2000, 1))
+    x = rng.standard_normal((4000, 24)) * 0.6 ** np.arange(24) * rng.gamma(1, 1, (4000, 1))
     x = x[np.argsort(-np.linalg.norm(x, axis=1))]
     _, _, basis = np.linalg.svd(x, full_matrices=False)
-    search = topk.Search(np.arange(100), x[:100], basis.T, 3, 10)
-    search.add(np.arange(1000), x[:1000], np.linalg.norm(x[0]))
-    assert search.reach() > np.linalg.norm(x[1999])
+    asked = np.arange(0, 4000, 40)
+    search, finished = topk.Search(asked, x[asked], basis.T, 3, 10), 0
+    merge = search._merge
+    search._merge = lambda r, ids, scores: (globals().update(finished=globals().get("finished", 0) + len(r)), merge(r, ids, scores))[1]
+    globals()["finished"] = 0
+    for at in range(0, 4000, 250):
+        search.add(np.arange(at, at + 250), x[at : at + 250], float(np.linalg.norm(x[at])))
+    assert search.met < 0.6 * 100 * 4000
+    assert globals()["finished"] < 0.05 * 100 * 4000
+    assert (search.reach() > np.linalg.norm(x[3999])).mean() > 0.5
+    for n, q in enumerate(asked.tolist()):
+        scores = np.round(x @ x[q], topk.DIGITS)
+        scores[q] = -np.inf
+        assert sorted(search.scores[n], reverse=True) == pytest.approx(sorted(scores, reverse=True)[:10])
