@@ -39,8 +39,8 @@ _AT = {c: (y, x + y / 2) for y, row in enumerate(_ROWS) for x, c in enumerate(ro
 _DATE = re.compile(r"(?:(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2}))\Z")
 _YEAR = re.compile(r"(?:19|20)\d\d\Z")
 
-#: Characters of a keyboard walk at most; a longer one counts as several.
-LONGEST_WALK = 32
+#: A keyboard walk may stop at any of so many characters; beyond them it is a part only as far as it goes.
+ANY_WALK = 32
 
 
 def _next_to(a: str, b: str) -> bool:
@@ -137,11 +137,34 @@ def repeats(text: str) -> list[tuple[int, int, int]]:
     return sorted((s, e, unit) for (s, e), seen in found.items() for unit in seen if unit <= 4 or unit == min(seen))
 
 
+def _walks(text: str) -> tuple[list[int], list[int]]:
+    """For each place where the walk that it lies in ends, and the turns up to it since the text's beginning."""
+    n = len(text)
+    ends, turns = list(range(1, n + 1)), [0] * n
+    way, before = None, None
+    for i in range(1, n):
+        way = None
+        if _next_to(text[i - 1], text[i]):
+            p, q = (_AT[_SHIFT.get(c, c.lower())] for c in text[i - 1 : i + 1])
+            way = (q[0] - p[0], q[1] - p[1])
+        turns[i] = turns[i - 1] + (way is not None and before is not None and way != before)
+        before = way
+        if way is None:
+            ends[i - 1] = -i  # a walk ends here
+    end = n
+    for i in range(n - 1, -1, -1):
+        if ends[i] < 0:
+            end = -ends[i]
+        ends[i] = end
+    return ends, turns
+
+
 def part_costs(text: str) -> Iterator[tuple[int, int, float, str]]:
     """(start, end, bits, kind) of every part of text that is a word, a date, a repeat or a keyboard walk, by start."""
     n, lower = len(text), _lower(text)
     plain = lower.translate(_LEET)
     runs = repeats(text)[::-1] if n else []
+    walk_end, turned = _walks(text)
     active: list[tuple[int, int, float]] = []  # the stretches that a lies in: end, unit, bits of the unit
     for a in range(n):
         b = a + 1
@@ -163,14 +186,8 @@ def part_costs(text: str) -> Iterator[tuple[int, int, float, str]]:
             times = (end - a) // unit
             if times * unit >= 3:
                 yield a, a + times * unit, bits + math.log2(times), "repeat"
-        b, turns, step = a + 1, 1, None
-        while b < n and b - a < LONGEST_WALK and _next_to(text[b - 1], text[b]):
-            p, q = (_AT[_SHIFT.get(c, c.lower())] for c in text[b - 1 : b + 1])
-            way = (q[0] - p[0], q[1] - p[1])
-            turns += step is not None and way != step
-            step, b = way, b + 1
-            if b - a >= 3:
-                yield a, b, math.log2(47 * (b - a)) + 2.3 * turns, "walk"
+        for b in (*range(a + 3, min(walk_end[a], a + ANY_WALK) + 1), *([walk_end[a]] if walk_end[a] > a + ANY_WALK else [])):
+            yield a, b, math.log2(47 * (b - a)) + 2.3 * (1 + turned[b - 1] - turned[a + 1]), "walk"
 
 
 def segment(text: str) -> tuple[float, list[tuple[str, str]]]:

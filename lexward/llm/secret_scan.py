@@ -18,19 +18,18 @@ _HUMP = "(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
 NAMES = rf"pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|auth|private)key|(?:(?<=[a-z0-9][_-])|{_HUMP})key|credentials?"
 
 #: A value in quotes, its first quote read already: all up to the same quote on the line, which a backslash escapes.
-_QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n]){{4,}}+(?={q})" for q in "\"'")
+_QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\r\n]|\\[^\r\n])++(?={q})" for q in "\"'")
 
 #: A line that has a name and value of its own: it is not the value of a name before it.
 _NAMED_LINE = r"[\"']?[\w.-]++[\"']?\h*+(?::(?:[=\s\"']|\z)|=>?\h*+[^\s=])"
 
 #: name = value, name: value, also with :=, => and ==, quoted or not, among any white space; the value may stand on a
 #: later line. Groups: name, value in quotes, value without. The latter ends at white space or a quote, as does one
-#: whose quote isn't closed on the line. A name begins at a word, also at one within a camelCase name. It is told
-#: with up to eight words before it; what stands before those doesn't matter to the match, and a bound keeps the
-#: search linear and off the engine's stack where a text has endless chains of words.
+#: whose quote isn't closed on the line. The name is the whole run of letters, digits, '_' and '-', read once from its
+#: beginning and never given back, so the search is linear; what it ends with makes it a credential's.
 CONTEXT = (
-    rf"(?i)((?:(?<![a-z0-9])(?:[a-z0-9]{{1,64}}[_-]){{0,8}}(?:[a-z0-9]{{1,64}}{_HUMP})?|{_HUMP})(?:{NAMES}))"
-    rf"[\"']?+\s*+(?>:=|=>|={{1,3}}|:)\h*+(?:\v\s*+(?!{_NAMED_LINE}))?+[\"']?+(?:({_QUOTED})|([^\s\"']{{4,}}))"
+    rf"(?i)(?<![a-z0-9_-])[_-]*+([a-z0-9][a-z0-9_-]*+)(?<=(?:(?<![a-z0-9])|{_HUMP})(?:{NAMES}))"
+    rf"[\"']?+\s*+(?>:=|=>|={{1,3}}|:)\h*+(?:\v\s*+(?!{_NAMED_LINE}))?+[\"']?+(?:({_QUOTED})|([^\s\"']++))"
 )
 
 #: Of each name what all its spellings contain, in lower case: a text without any is not searched.
@@ -58,7 +57,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     n numbers a row's values from 0 in their order. Issued keys are found by their prefix too, under the name
     'issued', after the others. The search runs in the JVM over whole texts; only the values, a tiny part,
     reach the Arrow function that scores them. is_secret says whether a value takes 2 to the power min_bits
-    guesses. A value in quotes is all that they hold on the line; without quotes, trailing punctuation is not part of a value.
+    guesses. A value in quotes is all that they hold on the line; without quotes, trailing punctuation is not part of a value,
+    and what is nothing else is none. Values of any length are listed, short ones too, under their whole names.
 
     A null or empty text has no values. A value met twice is listed twice; repeated rows and null ids are kept.
     An empty table gives no rows. Values of any length are scored whole. Only the two columns named are read.
@@ -76,8 +76,9 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     named = F.when(marked, F.arrays_zip(*[F.regexp_extract_all("text", F.lit(CONTEXT), i).alias(g) for i, g in enumerate(("name", "quoted", "bare"), 1)]))
     bare = F.when(issued, F.regexp_extract_all("text", F.lit(ISSUED), 1)).otherwise(none)
     empty = F.array().cast("array<struct<name:string,quoted:string,bare:string>>")
-    found = rows.where(marked | issued).select("doc_id", F.concat(F.coalesce(named, empty), F.transform(bare, lambda v: F.struct(F.lit("issued").alias("name"), F.lit("").alias("quoted"), v.alias("bare")))).alias("found"))
-    value = F.when(F.col("f.quoted") != "", F.col("f.quoted")).otherwise(F.regexp_replace("f.bare", r"[,;.)\]}>]+$", ""))
-    values = found.select("doc_id", F.posexplode("found").alias("n", "f")).select("doc_id", "n", F.lower("f.name").alias("name"), value.alias("value"))
+    every = F.concat(F.coalesce(named, empty), F.transform(bare, lambda v: F.struct(F.lit("issued").alias("name"), F.lit("").alias("quoted"), v.alias("bare"))))
+    told = F.transform(every, lambda f: F.struct(F.lower(f["name"]).alias("name"), F.when(f["quoted"] != "", f["quoted"]).otherwise(F.regexp_replace(f["bare"], r"[,;.)\]}>]+$", "")).alias("value")))
+    found = rows.where(marked | issued).select("doc_id", F.filter(told, lambda f: f["value"] != "").alias("found"))
+    values = found.select("doc_id", F.posexplode("found").alias("n", "f")).select("doc_id", "n", "f.name", "f.value")
     scored = values.withColumn("s", score("value"))
     return scored.select("doc_id", "n", "name", "value", (F.col("s.bits") * math.log10(2)).alias("log10_guesses"), F.col("s.parts").alias("parts"), (F.col("s.bits") >= min_bits).alias("is_secret"))
