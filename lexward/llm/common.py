@@ -46,10 +46,6 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
-def written(df: DataFrame) -> DataFrame:
-    return stored(df)[0]
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of stored() that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

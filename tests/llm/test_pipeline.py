@@ -61,3 +61,25 @@ def test_stages_bear_nulls_and_no_rows(spark, small):
         assert stage(spark, odd, small).count() <= 4
         assert stage(spark, odd.limit(0), small).count() == 0
         assert stage(spark, odd.withColumn("row", F.lit(1)), small).columns[:6] == [*COLUMNS, "row"]
+
+
+def test_stages_bear_long_texts_and_clashing_names(spark, small):
+    from fixtures import ROWS, messy
+
+    docs = messy(spark, [*ROWS, (11, "word " * 200_000, "en", "web"), (12, " " * 300_000, "en", "web")])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, small)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        texts = {r["text"] for r in out.select("text").collect()}
+        assert texts <= {r["text"] for r in docs.select("text").collect()}, name
+
+
+def test_tables_between_stages_go(spark, small):
+    from pathlib import Path
+
+    def tables():
+        return len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*")))
+
+    before = tables()
+    P.run(spark, small).count()
+    assert tables() == before + 1  # that of the last stage's input
