@@ -298,16 +298,18 @@ _NAMES = ("a.md", "b.yaml", ".hidden/c.yml", "d.txt", "_e.toml", "F.MD", "g.rs",
 
 
 @_query(
-    f"SELECT path FROM (SELECT 'site/' || page_id || '/' || CASE page_id % {len(_NAMES)} {' '.join(f'WHEN {i} THEN {O.quoted(n)}' for i, n in enumerate(_NAMES))} END AS path FROM pages) "
+    f"SELECT path FROM (SELECT 'site/' || page_id || '/' || CASE page_id % {len(_NAMES)} {' '.join(f'WHEN {i} THEN {O.quoted(n)}' for i, n in enumerate(_NAMES))} END AS path FROM pages UNION ALL SELECT url FROM pages) "
     "WHERE regexp_matches(path, '[^/]\\.(md|yaml|yml|txt|toml)$')"
 )
 def ext_filter(spark, sf_dir):
+    """Paths made of the pages' ids and their own urls."""
     turn = F.pmod(F.col("page_id"), F.lit(len(_NAMES)))
     name = F
     for i, n in enumerate(_NAMES):
         name = name.when(turn == i, n)
-    path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit("/"), name).alias("path")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(path).where(paths.is_scanned(F.col("path")))
+    made = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit("/"), name)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.explode(F.array(made, "url")).alias("path"))
+    return pages.where(paths.is_scanned(F.col("path")))
 
 
 # Beyond the reference: summaries
