@@ -93,25 +93,23 @@ def _later(order):
     return F.struct(order.isNull().alias("none"), order.alias("id"))
 
 
-def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(digest, keep, n, bodies, body) for each text that several rows have, and its suspects (id, digest, body).
+def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, bool]:
+    """(digest, keep, body) for each text that several rows have, its suspects (id, digest, body), and whether bodies count.
 
     Suspects alone are shuffled, by their whole text, so equal groups are equal byte for byte. Copies within a
     map task are combined before the shuffle into one row with their least id and number, so a text that is repeated
-    very often travels once a task, and no list of its ids is ever made. bodies counts the texts of a digest; body
-    is null but where there are several.
+    very often travels once a task, and no list of its ids is ever made. Where no two of the texts have one digest, which
+    is to say always, the texts go no further, and body is null.
     """
     marked, n = suspect_fingerprints(docs, text)
     rows = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("body")).where(F.col("body").isNotNull())
     suspects = rows.join(hinted(marked, n, 40), _fingerprint(F.col("body")) == F.col("suspect"), "left_semi").withColumn("digest", _digest(F.col("body")))
     texts = suspects.groupBy("digest", "body").agg(F.min(_later(F.col("id"))).alias("least"), F.count("*").alias("n"))
-    told = texts.select("digest", "n", F.col("least.id").alias("keep"), F.struct("body").alias("b"))
-    # Of a digest with one text, which is to say of all, the text itself goes no further.
-    listed = told.groupBy("digest").agg(F.count("*").alias("bodies"), F.max(F.struct("n", "keep")).alias("only"))
-    single = listed.where("bodies = 1 AND only.n > 1").select("digest", "only.keep", "only.n", "bodies", F.lit(None).cast("string").alias("body"))
-    clashing = listed.where("bodies > 1").select("digest", "bodies")
-    several = told.join(clashing, "digest").where("n > 1").select("digest", "keep", "n", "bodies", "b.body")
-    return cut(single.unionAll(several)), suspects
+    told = cut(texts.select("digest", F.col("least.id").alias("keep"), "n"))
+    clashing = told.groupBy("digest").count().where("count > 1").limit(1).count() > 0
+    if clashing:
+        return cut(texts.where("n > 1").select("digest", F.col("least.id").alias("keep"), "body")), suspects, True
+    return told.where("n > 1").select("digest", "keep", F.lit(None).cast("string").alias("body")), suspects, False
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,10 +120,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     with keep_doc_id equal to doc_id where the kept row has the same id. An empty table gives no rows. Texts
     of any length are compared whole. Other columns are not read, so their names can't clash.
     """
-    groups, suspects = duplicate_groups(docs, doc_id, text)
+    groups, suspects, by_body = duplicate_groups(docs, doc_id, text)
     side = hinted(groups.withColumnRenamed("body", "of_body"), groups.count(), 80)
     # A text with very many rows is one row of the side, so its rows stay where they are or are split.
-    rows = suspects.join(side, "digest").where("bodies = 1 OR body = of_body").select("id", "keep", "digest", "of_body", F.col("id").eqNullSafe(F.col("keep")).alias("kept"))
+    found = suspects.join(side, "digest")
+    found = found.where("body = of_body") if by_body else found
+    rows = cut(found.select("id", "keep", "digest", "of_body", F.col("id").eqNullSafe(F.col("keep")).alias("kept")))
     later = rows.where("NOT kept").select("id", "keep")
     # Of rows with the kept one's id all but one are listed: their number less one, written out in two steps of bounded arrays.
     again = rows.where("kept").groupBy("digest", "of_body", "id", "keep").count().where("count > 1").withColumn("more", F.col("count") - 1)
