@@ -26,9 +26,17 @@ WIDE_FROM = 1 << 28
 #: A list of more fingerprints is split into blocks, and every two blocks are one task.
 BLOCK_ROWS = 1 << 20
 
-#: Rows of a list that are sorted by their next bytes at once, for all pairs of positions; and rows of a run that meet pairwise.
+#: Rows of a list that are sorted at once, for one or more positions, and comparisons that are worked out together.
 _SORTED_ROWS = 1 << 20
-_SHORT_RUN = 24
+_CELLS = 1 << 16
+
+#: Rows of a run that meet by their distance in it, all such runs together; longer runs are met one by one, those beyond
+#: the second number by a third byte where their position has some.
+_SHORT_RUN = 192
+_LONG_RUN = 3000
+
+#: Pairs that are verified and joined together.
+_FOUND_PAIRS = 1 << 18
 
 _EDGES = "u bigint, v bigint"
 
@@ -47,9 +55,16 @@ def _byte(position: int):
     return F.shiftrightunsigned(f"w{position // 8}", 8 * (position % 8)).bitwiseAND(255).cast("int")
 
 
+def _half(position: int) -> range:
+    """The half of the positions that it lies in. Of any three positions two lie in one half, so that lists of two bytes of
+    one half hold all pairs that share three: 132 in place of 276, or of 2,024 for three bytes."""
+    middle = len(_PLACES) // 2
+    return _PLACES[:middle] if position < middle else _PLACES[middle:]
+
+
 def keys_of(wide: bool) -> list[tuple[int, ...]]:
-    """The positions whose bytes, one or two, key the lists: those after which others are left to be shared."""
-    return [(i, j) for i in _PLACES for j in _PLACES if i < j < _PLACES[-1]] if wide else [(i,) for i in _PLACES[:-2]]
+    """The positions whose bytes, one or two, key the lists: those after which others of their half are left to be shared."""
+    return [(i, j) for i in _PLACES for j in _half(i) if i < j] if wide else [(i,) for i in _PLACES if i < _half(i)[-1]]
 
 
 def _postings(prints: DataFrame, wide: bool) -> DataFrame:
@@ -115,69 +130,142 @@ def _similar(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return near
 
 
-def _connect_run(words: np.ndarray, rows: np.ndarray, labels: _Labels) -> None:
-    """Connect what is similar among the rows, which may be very many: each row meets those it isn't connected with yet.
+class _Found:
+    """Pairs of rows that may be similar, gathered until they are many; those that are connect their rows."""
+
+    def __init__(self, words: np.ndarray, labels: _Labels):
+        self.words, self.labels = words, labels
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append((a, b))
+        self.count += len(a)
+        if self.count >= _FOUND_PAIRS:
+            self.join()
+
+    def join(self) -> None:
+        if self.waiting:
+            a, b = (np.concatenate(x) for x in zip(*self.waiting))
+            self.waiting, self.count = [], 0
+            apart = self.labels.of[a] != self.labels.of[b]
+            a, b = a[apart], b[apart]
+            same = _similar(self.words, a, b)
+            if same.any():
+                self.labels.join(a[same], b[same])
+
+
+def _alike(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether so few bits of the part over word pairs differ that the rows may be similar; few others pass."""
+    differ = np.bitwise_count(x[0] ^ y[0])
+    for a, b in zip(x[1:], y[1:]):
+        differ += np.bitwise_count(a ^ b)
+    return differ <= MAX_PAIR_BITS
+
+
+def _meet_short(parts: list[np.ndarray], rows: np.ndarray, sizes: np.ndarray, found: _Found) -> None:
+    """All rows of each run meet; runs of the given sizes, the largest first, stand one after the other in rows.
 
-    Rows of the largest connected set never meet each other, so a group of copies costs a comparison a row.
+    Rows a distance apart are compared all at once, over the ends of runs too; only pairs of one run are handed on.
     """
-    waiting = list(rows)
+    ends = np.cumsum(sizes)
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    own = [p[rows] for p in parts]
+    for gap in range(1, int(sizes[0])):
+        n = int(ends[np.searchsorted(-sizes, -gap) - 1])  # of runs that are longer than gap
+        at = np.flatnonzero(_alike([p[: n - gap] for p in own], [p[gap:n] for p in own]))
+        if len(at):
+            at = at[run[at] == run[at + gap]]
+            found.add(rows[at], rows[at + gap])
+
+
+def _connect_run(parts: list[np.ndarray], rows: np.ndarray, found: _Found) -> None:
+    """All rows of a run meet, which may be very many, but for those of a large set that is connected already.
+
+    Each row meets those after it. Rows of the largest connected set are kept to the end and never meet each other, so a
+    group of copies costs a comparison a row.
+    """
+    at, large = 0, len(rows) > _LONG_RUN
     while True:
-        own = labels.of[rows]
-        kinds, counts = np.unique(own, return_counts=True)
-        if len(kinds) == 1:
-            return
-        largest = kinds[counts.argmax()]
-        while waiting and labels.of[waiting[-1]] == largest and counts.max() > 1:
-            waiting.pop()  # others meet it
-        if not waiting:
+        last = len(rows)  # rows from here on are connected
+        if large:
+            found.join()
+            kinds, own, counts = np.unique(found.labels.of[rows[at:]], return_inverse=True, return_counts=True)
+            if counts.max() * 8 > last - at:
+                rest = own == counts.argmax()
+                rows = np.concatenate([rows[at:][~rest], rows[at:][rest]])
+                last, at = len(rows) - int(rest.sum()), 0
+        own_parts = [p[rows] for p in parts]
+        fresh = len(found.labels.a)
+        while at < min(last, len(rows) - 1) and len(found.labels.a) == fresh:
+            step = max(1, min(_CELLS // (len(rows) - at), last - at))
+            i, j = divmod(np.flatnonzero(_alike([p[at : at + step, None] for p in own_parts], [p[None, at:] for p in own_parts])), len(rows) - at)
+            i, j = i[i < j], j[i < j]
+            if len(i):
+                found.add(rows[at + i], rows[at + j])
+                if large and 16 * len(i) > len(rows) - at:  # a group of copies
+                    found.join()
+            at += step
+            if not large:
+                fresh = len(found.labels.a)
+        if at >= min(last, len(rows) - 1):
             return
-        row = waiting.pop()
-        others = rows[own != labels.of[row]]
-        others = others[_similar(words, np.full(len(others), row), others)]
-        if len(others):
-            labels.join(np.full(len(others), row), others)
-
 
-def list_forest(words: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all similar rows of a list that share the bytes of any of the pairs of positions too.
 
-    For each pair of positions rows are sorted by their two bytes; those that agree on them share three bytes in all,
-    the least number that the index asks for, and meet. Rows that are connected already don't meet again.
-    """
-    octets = words[:, : len(simhash.WORD_FIELDS)].copy().view(np.uint8).reshape(len(words), simhash.WORD_BYTES)
-    labels, n = _Labels(len(words)), len(words)
-    step = max(1, _SORTED_ROWS // max(n, 1))
-    for at in range(0, len(pairs), step):
-        j, k = np.array(pairs[at : at + step]).T
-        keys = octets[:, j].T.astype(np.uint16) << 8 | octets[:, k].T
+def _meet(octets: np.ndarray, parts: list[np.ndarray], rows: np.ndarray, places: list[tuple[int, list[int]]], found: _Found) -> None:
+    """Rows that agree on the byte of one of the places meet, those of a long run only if on one of its further bytes too."""
+    step = max(1, _SORTED_ROWS // max(len(rows), 1))
+    for at in range(0, len(places), step):
+        some = places[at : at + step]
+        keys = octets[rows[:, None], [p for p, _ in some]].T
         order = np.argsort(keys, axis=1, kind="stable")
         keys = np.take_along_axis(keys, order, axis=1)
-        # Runs of equal keys, over all pairs of positions at once.
+        # Runs of equal bytes, over all the places at once.
         new = np.ones(keys.shape, bool)
         new[:, 1:] = keys[:, 1:] != keys[:, :-1]
         starts = np.flatnonzero(new)
         sizes = np.diff(starts, append=keys.size)
-        rows = order.ravel()
+        ordered = rows[order.ravel()]
         for a in np.flatnonzero(sizes > _SHORT_RUN):
-            _connect_run(words, rows[starts[a] : starts[a] + sizes[a]], labels)
-        few = (sizes > 1) & (sizes <= _SHORT_RUN)
+            further = some[starts[a] // len(rows)][1]
+            run = ordered[starts[a] : starts[a] + sizes[a]]
+            if further and sizes[a] > _LONG_RUN:
+                _meet(octets, parts, run, [(k, []) for k in further], found)
+            else:
+                _connect_run(parts, run, found)
+        few = np.flatnonzero((sizes > 1) & (sizes <= _SHORT_RUN))
+        few = few[np.argsort(-sizes[few], kind="stable")]
         starts, sizes = starts[few], sizes[few]
-        for gap in range(1, int(sizes.max()) if len(sizes) else 0):
-            starts, sizes = starts[sizes > gap], sizes[sizes > gap]
-            left = np.repeat(starts - np.cumsum(sizes - gap) + sizes - gap, sizes - gap) + np.arange((sizes - gap).sum())
-            x, y = rows[left], rows[left + gap]
-            apart = labels.of[x] != labels.of[y]
-            x, y = x[apart], y[apart]
-            same = _similar(words, x, y)
-            if same.any():
-                labels.join(x[same], y[same])
+        pieces = np.cumsum(sizes) // _CELLS
+        for piece in np.split(np.arange(len(few)), np.flatnonzero(np.diff(pieces)) + 1) if len(few) else []:
+            s = sizes[piece]
+            _meet_short(parts, ordered[np.repeat(starts[piece] - np.cumsum(s) + s, s) + np.arange(s.sum())], s, found)
+        found.join()
+
+
+def list_forest(words: np.ndarray, places: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all similar rows of a list that share the byte at any of the places too.
+
+    Rows are sorted by their byte at each place; those that agree meet, and a pair is verified if few bits of its part over
+    word pairs differ. Where very many agree they meet only if they share one more byte, as similar ones do.
+    """
+    k = len(simhash.WORD_FIELDS)
+    octets = words[:, :k].copy().view(np.uint8).reshape(len(words), simhash.WORD_BYTES)
+    labels = _Labels(len(words))
+    if len(words) > 1:
+        _meet(octets, [words[:, i].copy() for i in range(k, words.shape[1])], np.arange(len(words)), places, _Found(words, labels))
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *labels.a]), np.concatenate([empty, *labels.b])
 
 
-def list_positions(key: tuple[int, ...]) -> list[tuple[int, int]]:
-    """The pairs of positions that rows of a list are sorted by: with the list's own, three different ones."""
-    return [(key[1], k) for k in _PLACES if k > key[1]] if len(key) > 1 else [(j, k) for j in _PLACES for k in _PLACES if key[0] < j < k]
+def list_positions(key: tuple[int, ...]) -> list[tuple[int, list[int]]]:
+    """The places that rows of a list are sorted by, and for each the bytes of which similar rows share one more.
+
+    Three shared positions are either of one half, and the list and place are the first two, or two of a half and one of
+    the other.
+    """
+    half = _half(key[0])
+    return [(j, [k for k in _PLACES if k not in half or k > j]) for j in (key[1:] or half) if j > key[0]]
 
 
 def _list_edges(wide: bool):

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -144,6 +145,47 @@ def test_long_runs_equal_pairs(monkeypatch):
     assert len(set(outcomes[0])) < 60
 
 
+def test_any_three_positions_have_a_list():
+    """Of pairs that share three bytes a list holds all, whichever the bytes and however long the runs."""
+    found = set()
+    for key in N.keys_of(False):
+        found |= {tuple(sorted((key[0], j, k))) for j, further in N.list_positions(key) for k in further}
+    assert found == set(itertools.combinations(range(24), 3))
+    assert sorted((k[0], j) for k in N.keys_of(False) for j, _ in N.list_positions(k)) == sorted(N.keys_of(True))
+
+
+@pytest.mark.parametrize(("short", "long"), [(1, 1), (3, 5), (3, 50), (10_000, 10_000)])
+@pytest.mark.parametrize("wide", [False, True])
+def test_runs_of_any_length_equal_all_pairs(monkeypatch, short, long, wide):
+    """Hot groups and others among rows that agree on many bytes, with blocks of a few rows and of many."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (40, 5)).astype(np.uint64)
+    words = np.concatenate([np.repeat(base[:1], 60, axis=0), np.repeat(base[1:2], 30, axis=0), np.repeat(base[2:], 3, axis=0)])
+    octets = words.view(np.uint8)
+    for row in octets:
+        for bit in rng.choice(np.arange(320), rng.integers(0, 40), replace=False):
+            row[bit // 8] ^= np.uint8(1 << bit % 8)
+    octets[:, [1, 4, 14]] &= 1  # few values, so that rows of different groups meet
+    verified = [p for p in all_pairs(words) if (words[p[0], :3] ^ words[p[1], :3]).view(np.uint8).tolist().count(0) >= N.MIN_SHARED]
+    monkeypatch.setattr(N, "_SHORT_RUN", short)
+    monkeypatch.setattr(N, "_LONG_RUN", long)
+    monkeypatch.setattr(N, "_CELLS", 10 * long)
+    monkeypatch.setattr(N, "_FOUND_PAIRS", 10 * long)
+    assert roots_of(len(words), indexed(words, wide)) == roots_of(len(words), verified)
+
+
+def test_long_runs_cost_little(monkeypatch):
+    """Rows that agree on two bytes, as most lists of a large table have them, are told apart without being verified."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, (3000, 5)).astype(np.uint64)
+    words.view(np.uint8)[:, [0, 1, 20]] = 7
+    verified = []
+    similar = N._similar
+    monkeypatch.setattr(N, "_similar", lambda w, a, b: verified.append(len(a)) or similar(w, a, b))
+    a, _ = N.list_forest(words, N.list_positions((0,)))
+    assert not len(a) and sum(verified) < 3000 * 2999 / 2 / 100
+
+
 def test_wide_lists_and_blocks_give_the_same(spark, monkeypatch):
     ids, texts = corpus(30)
     docs = messy(spark, [(i, t, "en", "web") for i, t in zip(ids, texts)])
