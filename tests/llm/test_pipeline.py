@@ -83,3 +83,30 @@ def test_tables_between_stages_go(spark, small):
     before = tables()
     P.run(spark, small).count()
     assert tables() == before + 1  # that of the last stage's input
+
+
+def test_near_dedup_stage_compares_long_lists_by_bits(spark, monkeypatch):
+    """Documents of few words have uneven bytes and meet in long runs, as those of a large table do; only pairs that are near
+    in the part over word pairs are verified, and no other document goes."""
+    import random
+
+    import numpy as np
+    from fixtures import messy
+
+    from lexward.llm import near_dedup as N
+    from lexward.llm import simhash
+
+    rng = random.Random(12)
+    words = ["the", "of", "and", "to", "in", *("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))]
+    texts = [" ".join(rng.choices(words, k=rng.randint(40, 80))) for _ in range(700)]
+    array = simhash.fingerprints(pa.array(texts))
+    prints = np.stack([array.field(i).to_numpy() for i in range(5)], 1).view(np.uint64)
+    verified, similar = [], N._similar
+    monkeypatch.setattr(N, "_similar", lambda w, a, b: verified.append(simhash.distances(w[a, 3:], w[b, 3:])) or similar(w, a, b))
+    octets = prints[:, :3].copy().view(np.uint8).reshape(len(prints), 24)
+    for value in np.unique(octets[:, 0]):
+        N.list_forest(prints[octets[:, 0] == value], N.list_positions((0,)))
+    assert all((d <= N.MAX_PAIR_BITS).all() for d in verified)
+    docs = messy(spark, [(i, t, "en", "web") for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(len(texts))) - {i for i, _ in near(list(range(len(texts))), texts)}
