@@ -183,14 +183,15 @@ def _connect_run(parts: list[np.ndarray], rows: np.ndarray, found: _Found) -> No
     """All rows of a run meet, which may be very many, but for those of a large set that is connected already.
 
     Each row meets those after it. Rows of the largest connected set are kept to the end and never meet each other, so a
-    group of copies costs a comparison a row.
+    group of copies costs a comparison a row, in each run that it comes to.
     """
-    at, large = 0, len(rows) > _LONG_RUN
+    at = 0
     while True:
         last = len(rows)  # rows from here on are connected
-        if large:
-            found.join()
-            kinds, own, counts = np.unique(found.labels.of[rows[at:]], return_inverse=True, return_counts=True)
+        found.join()
+        own = found.labels.of[rows[at:]]
+        if np.count_nonzero(own != rows[at:]) * 8 + 8 > last - at:  # else no set is large, as one row of each has its own label
+            kinds, own, counts = np.unique(own, return_inverse=True, return_counts=True)
             if counts.max() * 8 > last - at:
                 rest = own == counts.argmax()
                 rows = np.concatenate([rows[at:][~rest], rows[at:][rest]])
@@ -203,11 +204,9 @@ def _connect_run(parts: list[np.ndarray], rows: np.ndarray, found: _Found) -> No
             i, j = i[i < j], j[i < j]
             if len(i):
                 found.add(rows[at + i], rows[at + j])
-                if large and 16 * len(i) > len(rows) - at:  # a group of copies
+                if 16 * len(i) > len(rows) - at:  # a group of copies
                     found.join()
             at += step
-            if not large:
-                fresh = len(found.labels.a)
         if at >= min(last, len(rows) - 1):
             return
 

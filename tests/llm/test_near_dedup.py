@@ -186,6 +186,29 @@ def test_long_runs_cost_little(monkeypatch):
     assert not len(a) and sum(verified) < 3000 * 2999 / 2 / 100
 
 
+def test_connected_rows_of_middle_runs_meet_once(monkeypatch):
+    """A group too small for a long run comes to a run at many places; once connected, its rows aren't compared again."""
+    rng = np.random.default_rng(11)
+    words = np.concatenate([np.repeat(rng.integers(0, 1 << 63, (1, 5)).astype(np.uint64), 1200, axis=0), rng.integers(0, 1 << 63, (100, 5)).astype(np.uint64)])
+    octets = words.view(np.uint8)
+    for row in octets[:1200]:
+        for bit in rng.choice(np.arange(96, 320), 12, replace=False):
+            row[bit // 8] ^= np.uint8(1 << bit % 8)
+    octets[1200:, :12] = octets[0, :12]  # others in the group's runs
+    assert N._SHORT_RUN < len(words) <= N._LONG_RUN
+    compared, alike = [], N._alike
+
+    def counted(x, y):
+        out = alike(x, y)
+        compared.append(out.size)
+        return out
+
+    monkeypatch.setattr(N, "_alike", counted)
+    a, b = N.list_forest(words, N.list_positions((0,)))
+    assert roots_of(len(words), zip(a.tolist(), b.tolist())) == [0] * 1200 + list(range(1200, 1300))
+    assert sum(compared) < 2 * 1200 * 1200
+
+
 def test_wide_lists_and_blocks_give_the_same(spark, monkeypatch):
     ids, texts = corpus(30)
     docs = messy(spark, [(i, t, "en", "web") for i, t in zip(ids, texts)])
